@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .license_scan import license_scan
+from .secret_scan import secret_scan
 from .url_filter import RULES, rule_table, url_filter
 
 
@@ -30,6 +33,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_read(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_read(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"), keep="max")
 
@@ -40,9 +55,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_license_scan": op6_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_language_id": op9_language_id,
     "op8_url_filter": op8_url_filter,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE: dict[str, str] = {
