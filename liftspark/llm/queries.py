@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .license_scan import license_scan
+from .ngram_join import ngram_join
 from .secret_scan import secret_scan
 from .url_filter import RULES, rule_table, url_filter
 
@@ -25,6 +26,10 @@ def ranks_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_read(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), ranks_path())
 
@@ -54,6 +59,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
