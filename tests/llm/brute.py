@@ -91,3 +91,51 @@ def contaminated(text, item, window=13, agree=0.8):
         return False
     need = n if len(b) < 8 else -(-int(agree * n * 1000) // 1000)
     return any(sum(t[d + j + i] == b[j + i] for i in range(n)) >= need for d in range(-len(b), len(t)) for j in range(len(b) - n + 1) if 0 <= d + j and d + j + n <= len(t))
+
+
+def bigram_scores(docs):
+    """{doc_id: (n_tokens, n_known, N, base, score)} by the formulas, with dictionaries."""
+    import math
+    from collections import Counter, defaultdict
+
+    def tokens(t):
+        return [*SPACE_WORDS.findall(fold(t)), "</s>"]
+
+    def discounts(values):
+        n = Counter(values)
+        d = {0: 0.0, 1: 0.5, 2: 1.0, 3: 1.5}
+        if n[1] and n[2]:
+            y = n[1] / (n[1] + 2 * n[2])
+            for i in (1, 2, 3):
+                if n[i]:
+                    d[i] = min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.0), i)
+        return d
+
+    uni, pair = Counter(), Counter()
+    for d, t in docs:
+        if d is not None and crc(d, 5) != 1:
+            w = tokens(t)
+            uni.update(w)
+            pair.update(zip(["<s>", *w[:-1]], w, strict=True))
+    total, followers, contexts = Counter(), defaultdict(list), Counter()
+    for (c, w), n in pair.items():
+        total[c] += n
+        followers[c].append(n)
+        contexts[w] += 1
+    n_all, v = sum(uni.values()), len(uni)
+    dp, dw = discounts(pair.values()), discounts(contexts.values())
+    rest = sum(dw[min(k, 3)] for k in contexts.values()) / len(pair) if pair else 1.0
+    out = {}
+    for d, t in docs:
+        w = tokens(t)
+        base = sum(math.log10((uni[x] + 0.5) / (n_all + 0.5 * (v + 1))) for x in w)
+        score = 0.0
+        for c, x in zip(["<s>", *w[:-1]], w, strict=True):
+            k = contexts[x]
+            p = (max(k - dw[min(k, 3)], 0) / len(pair) if pair else 0.0) + rest / (v + 1)
+            if total[c]:
+                n = pair[c, x]
+                p = max(n - dp[min(n, 3)], 0) / total[c] + sum(dp[min(f, 3)] for f in followers[c]) / total[c] * p
+            score += math.log10(p)
+        out[d] = (len(w), sum(uni[x] > 0 for x in w), n_all, base, score)
+    return out
