@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .kneser_ney import lm_score
 from .language_id import language_id
 from .license_scan import license_scan
+from .line_dedup import line_classes
 from .ngram_join import ngram_join
 from .secret_scan import secret_scan
 from .url_filter import RULES, rule_table, url_filter
@@ -39,6 +40,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(_read(spark, sf_dir, "documents"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(_read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op4_lm_score": op4_lm_score,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,

@@ -139,3 +139,33 @@ def bigram_scores(docs):
             score += math.log10(p)
         out[d] = (len(w), sum(uni[x] > 0 for x in w), n_all, base, score)
     return out
+
+
+def line_classes(docs, least=8):
+    """{(doc_id, line): (n_words, class)} with every pair of lines compared by its deletion variants."""
+    lines = {}
+    for d, t in docs:
+        for i, x in enumerate((t or "").split("\n")):
+            w = tuple(SPACE_WORDS.findall(fold(x)))
+            if w:
+                lines[d, i] = w
+    by_text, links = {}, []
+    for key, w in lines.items():
+        by_text.setdefault(w, []).append(key)
+    for keys in by_text.values():
+        links += [(keys[0], k) for k in keys[1:]]
+    variants = {}
+    for w, keys in by_text.items():
+        if len(w) >= least - 1:
+            for i in range(len(w)):
+                variants.setdefault(w[:i] + w[i + 1 :], []).append((i, w))
+    for v, group in variants.items():
+        own = by_text.get(v)
+        first = {}
+        for i, w in group:
+            if own and len(w) >= least:
+                links.append((own[0], by_text[w][0]))
+            if len(w) >= least:
+                links.append((first.setdefault(i, by_text[w][0]), by_text[w][0]))
+    found = components(lines, links)
+    return {k: (len(w), found[k]) for k, w in lines.items()}
