@@ -1,18 +1,56 @@
-"""The corpus pipeline: five stages over documents, each written and read again by run()."""
+"""The corpus pipeline: five stages over documents, each written and read again before the next.
+
+Language ID drops texts whose language isn't recognised; exact dedup keeps
+the row with the largest doc_id of equal texts; the n-gram Jaccard join keeps
+the smallest doc_id of each group of near-duplicates; decontamination drops
+texts that hold passages of the benchmark; the last stage encodes what is
+left and proves that decoding gives the same bytes.
+
+Its rows can't be stated in SQL (stages 1, 3, 4 and 5), so ORACLE_SQL is None
+and tests hold them against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from liftspark.llm.bpe import encode_documents
+from liftspark.llm.decontaminate import decontaminated
 from liftspark.llm.exact_dedup import deduplicated
+from liftspark.llm.language_id import accepted
+from liftspark.llm.ngram_join import near_deduplicated
+from liftspark.llm.queries import ranks_path
 from liftspark.llm.storage import written
 
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return accepted(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicated(docs, keep="max")
 
 
-STAGES = [("exact_dedup", exact_dedup_stage)]
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids (little-endian unsigned 32-bit integers)."""
+    return encode_documents(docs, ranks_path(), with_ids=True)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("ngram_join", ngram_join),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
 
 ORACLE_SQL = None
 
