@@ -54,6 +54,7 @@ class Function:
 
     def __init__(self, fn: Callable, options: Options):
         self.fn, self.options = fn, options
+        self.__name__ = type(fn).__name__  # of partials and other callables
         functools.update_wrapper(self, fn, updated=())
 
     def __get__(self, instance, owner=None):
