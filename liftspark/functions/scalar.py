@@ -354,3 +354,58 @@ def code_point_slot(s):
 @func(return_dtype="bool")
 def known_type(kind):
     return kind in ("click", "view")
+
+
+@func(return_dtype="string")
+def first_character(s):
+    return s[0]
+
+
+@func(return_dtype="string")
+def last_character(s):
+    return s[-1]
+
+
+@func(return_dtype="int64")
+def looked_up(m, k):
+    return m[k]
+
+
+@func(return_dtype="string")
+def stripped(s):
+    return s.strip()
+
+
+@func(return_dtype="bool")
+def mentions(s):
+    return "license" in s
+
+
+@func(return_dtype="int64")
+def remainder(a):
+    return (0 - a) % 7
+
+
+@func(return_dtype="float64")
+def negated(v):
+    return -v
+
+
+@func(return_dtype="float64")
+def clamped(v):
+    return min(max(v, 10.0), 40.0)
+
+
+@func(return_dtype="bool")
+def not_small(v):
+    return not v < 10.0
+
+
+@func(return_dtype="string")
+def swapped(s):
+    return s.replace("e", "é")
+
+
+@func(return_dtype="float64")
+def discounted_row(row, rate):
+    return row.price * (1.0 - rate)

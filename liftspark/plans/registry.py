@@ -544,3 +544,35 @@ def _(T):
 def _(T):
     return T("region").pipe(lambda x, n: x.select(k=c("r_regionkey") + n), 1)
 
+
+
+# more of the expression language
+
+_doc("op_index", "x", lambda: s.first_character(c("text")), "substr(text, 1, 1)")
+_doc("op_index_negative", "x", lambda: s.last_character(c("text")), "right(text, 1)")
+_doc("fn_strip", "x", lambda: s.stripped(F.concat(F.lit(" \t "), "lang", F.lit("\n "))), "lang")
+_doc("fn_contains", "x", lambda: s.mentions(c("text")), "contains(text, 'license')")
+_doc("fn_replace", "x", lambda: s.swapped(c("text")), "replace(text, 'e', 'é')")
+_line("op_mod", "y", lambda: s.remainder(c("l_orderkey")), "((-l_orderkey % 7) + 7) % 7")
+_line("op_negate", "y", lambda: s.negated(c("l_tax")), "-l_tax")
+_line("fn_min_max", "y", lambda: s.clamped(c("l_quantity")), "least(greatest(l_quantity, 10.0), 40.0)")
+_line("op_not", "y", lambda: s.not_small(c("l_quantity")), "NOT l_quantity < 10")
+_line("op_field_and_argument", "y", lambda: s.discounted_row(F.struct(c("l_extendedprice").alias("price")), c("l_discount")), "l_extendedprice * (1.0::DOUBLE - l_discount)")
+_line("op_map_lookup", "y", lambda: s.looked_up(F.create_map(F.lit("A"), c("l_partkey"), F.lit("N"), c("l_suppkey"), F.lit("R"), c("l_orderkey")), c("l_returnflag")), "CASE l_returnflag WHEN 'A' THEN l_partkey WHEN 'N' THEN l_suppkey ELSE l_orderkey END")
+
+
+@query("vector_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS y FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+def _(d):
+    """Cosine with one vector: dot products by zip_with and aggregate, inside code generation."""
+    first = F.broadcast(d.embeddings.where("vec_id = 0").select(c("embedding").alias("other")))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+
+    y = dot("embedding", "other") / F.sqrt(dot("embedding", "embedding") * dot("other", "other"))
+    return d.embeddings.crossJoin(first).select("vec_id", F.round(y, 6).alias("y"))
+
+
+@query("union_of_lowered", "SELECT l_orderkey AS k, l_quantity * 2.0 + 3.0 AS y FROM lineitem UNION ALL SELECT o_orderkey, o_totalprice + 10.0 FROM orders")
+def _(d):
+    return Table(select(d.lineitem, k=c("l_orderkey"), y=s.affine(c("l_quantity")))).union_all(Table(select(d.orders, k=c("o_orderkey"), y=s.plus_ten(c("o_totalprice"))))).df
