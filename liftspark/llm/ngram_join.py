@@ -13,9 +13,9 @@ share prefix tokens under every order; only then are the sets compared.
 2. Class representatives emit their prefix under the first order, packed into
    blocks by token range. Each range keeps tokens that several texts share.
    Tokens known to be frequent are split over salts.
-3. Each token links its texts to the smallest of them, a star: the pairs are
-   tested under the other orders and verified on the whole sets. Links join
-   into components.
+3. Each token links its texts to the smallest of them, a star: pairs whose
+   number of shared prefix tokens still allows similarity are tested under the
+   other orders and verified on the whole sets. Links join into components.
 4. Texts that share a token but lie in different components are then paired,
    all but those of the token's largest component against every other one,
    and tested in the same way. Pairs inside one component needn't be tested,
@@ -228,8 +228,10 @@ def _verify(shared):
     return run
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, shared) -> DataFrame:
-    """Pairs x, y with whether they are linked."""
+def _tested(pairs: DataFrame, docs: DataFrame, shared, k: int) -> DataFrame:
+    """Pairs x, y (already written) with whether they are linked; only their texts' sets are made and sent."""
+    wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ngram-wanted")
+    sets = written(only(docs, wanted, "doc_id").mapInArrow(_sets(k), "doc long, tokens binary"), "ngram-sets")
     full = pairs.join(sets.select(F.col("doc").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(sets.select(F.col("doc").alias("y"), F.col("tokens").alias("y_tokens")), "y")
     return written(full.select("x", "y", "x_tokens", "y_tokens").mapInArrow(_verify(shared), "x long, y long, linked boolean"), "ngram-tested")
 
@@ -238,6 +240,14 @@ def _sizes_fit(a: str, b: str) -> Column:
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
+def _enough_shared() -> Column:
+    """Whether c shared prefix tokens leave room for similarity: of the tokens shared beyond the shorter prefix,
+    in the first order, all lie behind one text's own prefix."""
+    rest = F.greatest(*[F.expr(f"({NUMERATOR} * {n} + {DENOMINATOR} - 1) div {DENOMINATOR} - 1") for n in ("nx", "ny")])
+    both = NUMERATOR + DENOMINATOR
+    return F.col("c") + rest >= F.expr(f"({NUMERATOR} * (nx + ny) + {both} - 1) div {both}")
+
+
 def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
@@ -260,12 +270,10 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     blocks = active.mapInArrow(_postings(shared, ranges, k), "range int, salt int, block binary")
     postings = written(blocks.repartition(ranges, "range", "salt").mapInArrow(_shared_tokens, "token long, doc long, n long"), "ngram-postings")
 
-    leaders = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("first"), F.max("doc").alias("last")).where("first.doc < last").select("token", F.col("first.doc").alias("x"), F.col("first.n").alias("m"))
-    stars = postings.join(leaders, "token").where((F.col("doc") != F.col("x")) & _sizes_fit("n", "m")).select("x", F.col("doc").alias("y")).distinct()
-    stars = written(stars, "ngram-stars")
-    in_play = written(postings.select(F.col("doc").alias("doc_id")).distinct(), "ngram-in-play")
-    sets = written(only(active, in_play, "doc_id").mapInArrow(_sets(k), "doc long, tokens binary"), "ngram-sets")
-    tested = _tested(stars, sets, shared)
+    leaders = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("first"), F.max("doc").alias("last")).where("first.doc < last").select("token", F.col("first.doc").alias("x"), F.col("first.n").alias("nx"))
+    stars = postings.join(leaders, "token").where((F.col("doc") != F.col("x")) & _sizes_fit("nx", "n")).groupBy("x", F.col("doc").alias("y"), "nx", F.col("n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
+    # A pair may share more tokens under other leaders; what this leaves out comes up again below unless it is connected by then.
+    tested = _tested(written(stars.where(_enough_shared()).select("x", "y"), "ngram-stars"), active, shared, k)
     links = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(links)
 
@@ -274,10 +282,13 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     apart = written(placed.join(mixed, "token"), "ngram-apart")
     if not apart.isEmpty():
         few = apart.where("label != main").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-        every = apart.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-        crossed = few.join(every, "token").where((F.col("lx") != F.col("ly")) & _sizes_fit("nx", "ny")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        every = apart.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("central"))
+        # Each token that both share gives a pair once: from its side outside the main component, or from the smaller doc_id if both are.
+        once = (F.col("lx") != F.col("ly")) & (F.col("central") | (F.col("x") < F.col("y")))
+        crossed = few.join(every, "token").where(once & _sizes_fit("nx", "ny"))
+        crossed = crossed.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
         done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        more = _tested(written(crossed.join(done, ["x", "y"], "left_anti"), "ngram-crossed"), sets, shared)
+        more = _tested(written(crossed.where(_enough_shared()).select("x", "y").join(done, ["x", "y"], "left_anti"), "ngram-crossed"), active, shared, k)
         links = links.unionByName(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
     links = links.unionByName(copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     labels = components(links)
