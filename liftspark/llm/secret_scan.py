@@ -15,8 +15,8 @@ False discoveries: the null is ordinary text. Its statistics come from all
 long plain words of the corpus (runs of 16 or more letters of one case, with
 or without a capital) in classes of length, counted while scanning and added
 up in Spark, on top of a fixed set of joined common words. A candidate's
-p-value is the share of null strings no longer than its class that look at
-least as random. Benjamini-Hochberg at ``RATE`` over all candidates, with
+p-value is the share of its class's null strings that look at least as
+random. Benjamini-Hochberg at ``RATE`` over all candidates, with
 p-values of a class weighted by its length (longer strings give the tests
 more power), yields one bound per class. Only the two histograms, of
 ``len(CLASSES) * BINS`` cells, reach the driver.
@@ -32,6 +32,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ RANDOM = "random"
 RATE = 0.01
 CLASSES = (16, 20, 24, 32, 40, 64, 128)  # least lengths
 BINS = 80
+FIXED = 2000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -114,12 +116,13 @@ def length_class(n: int) -> int:
     return max((i for i, least in enumerate(CLASSES) if n >= least), default=0)
 
 
+@lru_cache(maxsize=1)
 def _fixed_null() -> np.ndarray:
-    """Statistics of joined common words, a hundred for each class of length."""
+    """Statistics of joined common words, FIXED for each class of length."""
     out = np.zeros((len(CLASSES), BINS), dtype=np.int64)
     state = 12345
     for k, least in enumerate(CLASSES):
-        for _ in range(100):
+        for _ in range(FIXED):
             s = ""
             while len(s) < least:
                 state = (state * 1103515245 + 12345) % 2**31
@@ -131,7 +134,7 @@ def _fixed_null() -> np.ndarray:
 
 def bounds(null: np.ndarray, candidates: np.ndarray, rate: float = RATE) -> list[int]:
     """For each class the largest bin that is a discovery, or -1."""
-    null = np.cumsum(null + _fixed_null(), axis=0)
+    null = null + _fixed_null()
     p = (1 + np.cumsum(null, axis=1)) / (1 + null.sum(axis=1, keepdims=True))
     weight = np.log2(np.array(CLASSES, dtype=np.float64))[:, None]
     total = candidates.sum()
@@ -165,10 +168,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, buf, offsets in textvec.blocks(column):
             run = _RUN[buf]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], run.view(np.int8), [0]))))
-            long = edge[::2][(edge[1::2] - edge[::2]) >= 16]
-            has_run = np.diff(np.searchsorted(long, offsets)) > 0
-            # A run may reach over the border of two texts; the text that it enters is looked at as well.
-            has_run[1:] |= has_run[:-1]
+            long = (edge[1::2] - edge[::2]) >= 16
+            # A run may reach over the borders of texts; all that it touches are looked at.
+            touched = np.zeros(j - i + 1, dtype=np.int64)
+            np.add.at(touched, np.searchsorted(offsets, edge[::2][long], side="right") - 1, 1)
+            np.add.at(touched, np.searchsorted(offsets, edge[1::2][long] - 1, side="right"), -1)
+            has_run = np.cumsum(touched)[:-1] > 0
             raw = buf.tobytes()
             rows, null = [], np.zeros((len(CLASSES), BINS), dtype=np.int64)
             for k in range(i, j):
