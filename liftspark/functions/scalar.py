@@ -334,16 +334,18 @@ def meaning(flag):
     return REGIONS[flag]
 
 
-def _environment(name):
-    return name.strip() + "-v1"
+SETTINGS_NAME = " run "
 
 
-PREFIX = _environment(" run ")
+def _prefix(name, version="v1"):
+    if name is None:
+        return "none"
+    return name.strip() + "-" + version
 
 
 @func(return_dtype="string")
 def labelled(kind):
-    return PREFIX + "/" + kind
+    return _prefix(SETTINGS_NAME) + "/" + kind  # the helper's part folds to a constant
 
 
 @func(return_dtype="int64")

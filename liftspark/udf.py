@@ -145,8 +145,16 @@ def plan(function: Function, args: list, kwargs: dict, columns: list[Column], fi
 
     if o.is_batch:
         return batch.F.arrow_udf(function.fn, dtype)(*columns), Decision(told, 2, "batch.given", mode, shape)
-    if o.is_async or o.is_generator:
-        raise TypeError(f"{function.__name__}: async and generator functions have no scalar result")
+    if o.is_generator:  # a row for each value; rows without one go
+        made = _with_constants(function.fn, args, kwargs)
+        listed = batch.row_function(lambda *xs: [batch.normalize_scalar(v, name_of(dtype)) for v in made(*xs)], T.ArrayType(dtype), bool(o.deterministic))
+        return batch.F.explode(listed(*columns)), Decision(told, 3, "function.generator", mode, shape)
+    if o.is_async:
+        import asyncio
+
+        function = Function(lambda *xs, f=function.fn, **k: asyncio.run(f(*xs, **k)), o)
+        column, _ = python(3, "function.async")
+        return column, Decision(told, 3, "function.async", mode, shape)
     try:
         captured, root = _captured(function, args, kwargs, len(columns), config)
         strict = o.nulls == "call"

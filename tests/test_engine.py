@@ -344,3 +344,24 @@ def test_lowering_without_a_session_schema(spark):
     read = capture(s.affine.fn)
     typed = Lowering([argument(F.col("x"), T.FloatType(), True)]).lower(read.root)
     assert typed.kind == "float64" and ir.size(read.root) == 5
+
+
+def test_generators_and_coroutines(spark):
+    @func(return_dtype="bigint", is_generator=True)
+    def up_to(n):
+        yield from range(n)
+
+    @func(return_dtype="float64", is_async=True)
+    async def later(v):
+        return v + 1.0
+
+    df = spark.createDataFrame([(0, 1.0), (3, 2.0)], "n bigint, v double")
+    assert sorted(r["y"] for r in select(df, y=up_to(F.col("n"))).collect()) == [0, 1, 2]
+    assert sorted(r["y"] for r in select(df, y=later(F.col("v"))).collect()) == [2.0, 3.0]
+
+
+def test_constant_helpers_fold(spark):
+    df = spark.createDataFrame([("a",)], "x string")
+    out = select(df, y=s.labelled(F.col("x")))
+    assert out.first()["y"] == "run-v1/a" and report(out)[0]["tier"] == 1
+    assert "run-v1/" in out._jdf.queryExecution().optimizedPlan().toString()
