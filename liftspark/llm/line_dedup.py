@@ -163,7 +163,8 @@ def line_classes(docs: DataFrame) -> DataFrame:
         shared = F.broadcast(shared)
     able = halves.join(shared, "half", "left_semi").select("id").distinct()
     wanted = written(able.groupBy("id.doc").agg(F.collect_list("id.line").alias("wanted")), "line-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS // 8 else wanted
+    held = wanted.agg(F.sum(F.size("wanted") + 4)).first()[0] or 0  # numbers that a broadcast would hold
+    few = F.broadcast(wanted) if held <= BROADCAST_ROWS else wanted
     around = base.join(few, "doc").select("doc", "text", "wanted").mapInArrow(_neighbourhoods, "doc long, line int, variants array<long>, places array<int>, words binary")
     around = written(around.withColumn("id", F.struct("doc", "line")).drop("doc", "line").dropDuplicates(["id"]), "line-variants")
 
