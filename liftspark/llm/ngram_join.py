@@ -13,14 +13,17 @@ share prefix tokens under every order; only then are the sets compared.
 2. Class representatives emit their prefix under the first order, packed into
    blocks by token range. Each range keeps tokens that several texts share.
    Tokens known to be frequent are split over salts.
-3. Each token links its texts to the smallest of them, a star: pairs whose
+3. Each token links its texts to one of them, a star: pairs whose
    number of shared prefix tokens still allows similarity are tested under the
    other orders and verified on the whole sets. Links join into components.
 4. Texts that share a token but lie in different components are then paired,
    all but those of the token's largest component against every other one,
    and tested in the same way. Pairs inside one component needn't be tested,
-   as they are connected already. So each linked pair ends in one component,
-   while a group of near copies of any size costs one pair per member.
+   as they are connected already. What a text shares with the leader of a
+   group of near copies, known from step 3, excludes most others of the group:
+   unless two of them share something that the leader lacks, they can't share
+   more than either has in common with it. So each linked pair ends in one
+   component, while a group of near copies costs about a pair per member.
 
 The frequency levels only steer the orders: results don't depend on them.
 They cover all texts; their list has at most ``FREQUENT`` tokens of 12 bytes.
@@ -52,6 +55,7 @@ FREQUENT = 500_000
 LEAST_FREQUENCY = 8
 SALT_EVERY = 4096  # texts of a frequent token per salt
 MAX_SALTS = 256
+LARGE_STAR = 32  # texts that may be linked with one leader
 FLUSH = 1 << 20  # postings held by a task before they are packed
 COUNTED = 1 << 21  # tokens counted at once
 
@@ -218,34 +222,39 @@ def _verify(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(*shared.value)
         for b in batches:
-            keep = []
+            keep, overlap, inside = [], [], []
             for x, y in zip(b["x_tokens"], b["y_tokens"], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 ok = all(len(np.intersect1d(orders.prefix(x, j), orders.prefix(y, j), assume_unique=True)) for j in range(1, ORDERS))
-                keep.append(ok and similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
-            yield pa.RecordBatch.from_arrays([b["x"], b["y"], pa.array(keep, pa.bool_())], names=["x", "y", "linked"])
+                both = np.intersect1d(x, y, assume_unique=True)
+                keep.append(ok and similar(len(x), len(y), len(both)))
+                overlap.append(len(both))
+                prefix = orders.prefix(y, 0)
+                inside.append(len(y) - len(both) == len(prefix) - len(np.intersect1d(prefix, both, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([b["x"], b["y"], pa.array(keep, pa.bool_()), pa.array(overlap, pa.int64()), pa.array(inside, pa.bool_())], names=["x", "y", "linked", "overlap", "inside"])
 
     return run
 
 
 def _tested(pairs: DataFrame, docs: DataFrame, shared, k: int) -> DataFrame:
-    """Pairs x, y (already written) with whether they are linked; only their texts' sets are made and sent."""
+    """Pairs x, y (already written) with whether they are linked, how many tokens they share, and whether all of y's
+    others lie in its first prefix. Only the sets of these texts are made and sent."""
     wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ngram-wanted")
     sets = written(only(docs, wanted, "doc_id").mapInArrow(_sets(k), "doc long, tokens binary"), "ngram-sets")
     full = pairs.join(sets.select(F.col("doc").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(sets.select(F.col("doc").alias("y"), F.col("tokens").alias("y_tokens")), "y")
-    return written(full.select("x", "y", "x_tokens", "y_tokens").mapInArrow(_verify(shared), "x long, y long, linked boolean"), "ngram-tested")
+    return written(full.select("x", "y", "x_tokens", "y_tokens").mapInArrow(_verify(shared), "x long, y long, linked boolean, overlap long, inside boolean"), "ngram-tested")
 
 
 def _sizes_fit(a: str, b: str) -> Column:
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
-def _enough_shared() -> Column:
-    """Whether c shared prefix tokens leave room for similarity: of the tokens shared beyond the shorter prefix,
+def _enough_shared(c: Column) -> Column:
+    """Whether c shared prefix tokens, of texts of nx and ny tokens, leave room for similarity: of the tokens shared beyond the shorter prefix,
     in the first order, all lie behind one text's own prefix."""
     rest = F.greatest(*[F.expr(f"({NUMERATOR} * {n} + {DENOMINATOR} - 1) div {DENOMINATOR} - 1") for n in ("nx", "ny")])
     both = NUMERATOR + DENOMINATOR
-    return F.col("c") + rest >= F.expr(f"({NUMERATOR} * (nx + ny) + {both} - 1) div {both}")
+    return c + rest >= F.expr(f"({NUMERATOR} * (nx + ny) + {both} - 1) div {both}")
 
 
 def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -270,25 +279,47 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     blocks = active.mapInArrow(_postings(shared, ranges, k), "range int, salt int, block binary")
     postings = written(blocks.repartition(ranges, "range", "salt").mapInArrow(_shared_tokens, "token long, doc long, n long"), "ngram-postings")
 
-    leaders = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("first"), F.max("doc").alias("last")).where("first.doc < last").select("token", F.col("first.doc").alias("x"), F.col("first.n").alias("nx"))
-    stars = postings.join(leaders, "token").where((F.col("doc") != F.col("x")) & _sizes_fit("nx", "n")).groupBy("x", F.col("doc").alias("y"), "nx", F.col("n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
-    # A pair may share more tokens under other leaders; what this leaves out comes up again below unless it is connected by then.
-    tested = _tested(written(stars.where(_enough_shared()).select("x", "y"), "ngram-stars"), active, shared, k)
+    # A token's leader is the text whose tokens the most texts share: of near copies the one they come from.
+    shares = postings.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    weights = postings.join(shares, "token").groupBy("doc").agg(F.sum("texts").alias("weight"))
+    postings = written(postings.join(shares.select("token"), "token").join(weights, "doc"), "ngram-weighted")
+    leaders = postings.groupBy("token").agg(F.max(F.struct("weight", (-F.col("doc")).alias("before"), "n")).alias("first")).select("token", (-F.col("first.before")).alias("leader"), F.col("first.n").alias("nx"))
+    led = postings.join(leaders, "token")
+    stars = led.where((F.col("doc") != F.col("leader")) & _sizes_fit("nx", "n")).groupBy(F.col("leader").alias("x"), F.col("doc").alias("y"), "nx", F.col("n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
+    stars = written(stars, "ngram-stars")
+    # A pair may share more tokens under other leaders; what is left out here comes up again below unless it is connected
+    # by then. In large stars all are tested, as what a text shares with the leader spares it most of the others.
+    near = stars.where(_enough_shared(F.col("c")))
+    large = near.groupBy("x").count().where(F.col("count") >= LARGE_STAR).select("x")
+    far = stars.where(~_enough_shared(F.col("c"))).join(large, "x", "left_semi")
+    tested = _tested(written(near.unionByName(far).select("x", "y"), "ngram-star-pairs"), active, shared, k)
     links = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(links)
 
-    placed = postings.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    # A text's pivot is the leader it shares most with, of those it was tested against.
+    best = tested.join(stars, ["x", "y"]).groupBy("y").agg(F.max(F.struct("overlap", (-F.col("x")).alias("before"), "inside", "c")).alias("p"))
+    pivots = best.select(F.col("y").alias("doc"), (-F.col("p.before")).alias("pivot"), F.col("p.overlap").alias("o"), F.col("p.inside").alias("inside"), F.col("p.c").alias("m"))
+    placed = led.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     mixed = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
-    apart = written(placed.join(mixed, "token"), "ngram-apart")
+    apart = written(placed.join(mixed, "token").join(pivots, "doc", "left").select("token", "leader", "doc", "n", "label", "main", "pivot", "o", "inside", "m"), "ngram-apart")
     if not apart.isEmpty():
-        few = apart.where("label != main").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-        every = apart.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("central"))
+
+        def side(df: DataFrame, z: str) -> DataFrame:
+            return df.select("token", F.col("doc").alias(z), *[F.col(c).alias(f"{c}{z}") for c in ("n", "label", "pivot", "o", "inside", "m")], (F.col("label") == F.col("main")).alias(f"central{z}"), F.col("leader").alias(f"leader{z}"))
+
+        few, every = side(apart.where("label != main"), "x"), side(apart, "y").drop("leadery")
         # Each token that both share gives a pair once: from its side outside the main component, or from the smaller doc_id if both are.
-        once = (F.col("lx") != F.col("ly")) & (F.col("central") | (F.col("x") < F.col("y")))
-        crossed = few.join(every, "token").where(once & _sizes_fit("nx", "ny"))
-        crossed = crossed.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
+        once = (F.col("labelx") != F.col("labely")) & (F.col("centraly") | (F.col("x") < F.col("y")))
+        # Two texts with one pivot that share no token outside it share at most what each has in common with it. Where
+        # that is too little they share another, in both prefixes, whose leader is another text: it gives the pair.
+        outside = F.coalesce((F.col("pivotx") == F.col("pivoty")) & F.col("insidex") & F.col("insidey") & ((NUMERATOR + DENOMINATOR) * F.least("ox", "oy") < NUMERATOR * (F.col("nx") + F.col("ny"))), F.lit(False))
+        elsewhere = outside & (F.col("leaderx") == F.col("pivotx"))
+        crossed = few.join(every, "token").where(once & _sizes_fit("nx", "ny") & ~elsewhere)
+        rest = F.when(outside, F.least("mx", "my")).otherwise(F.lit(0)).alias("rest")  # at most so many rows of the pair were left out
+        crossed = crossed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny"), rest)
+        crossed = crossed.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"), F.max("rest").alias("rest"))
         done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        more = _tested(written(crossed.where(_enough_shared()).select("x", "y").join(done, ["x", "y"], "left_anti"), "ngram-crossed"), active, shared, k)
+        more = _tested(written(crossed.where(_enough_shared(F.col("c") + F.col("rest"))).select("x", "y").join(done, ["x", "y"], "left_anti"), "ngram-crossed"), active, shared, k)
         links = links.unionByName(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
     links = links.unionByName(copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     labels = components(links)

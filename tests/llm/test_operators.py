@@ -200,6 +200,22 @@ def test_salted_tokens_give_the_same(spark, mixed, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_join(frame(spark, mixed)).collect()} == want
 
 
+def test_one_large_group_of_near_copies(spark):
+    r = random.Random(11)
+    base = [f"v{i}" for i in range(150)]
+    texts = {7: " ".join(base)}
+    for i in range(140):
+        own = list(base)
+        for _ in range(r.choice((1, 2, 3, 3, 4, 5, 6))):
+            own[r.randrange(150)] = f"e{r.randrange(40)}"
+        if r.random() < 0.3:
+            own = own[: 150 - r.randrange(12)]
+        texts[10 * i if i != 50 else 3] = " ".join(own)
+    _, want = brute.jaccard_components(list(texts.items()))
+    assert 3 < len(set(want.values())) < 100
+    assert {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_join(frame(spark, texts)).collect()} == want
+
+
 def test_prefix_bound():
     for x in range(1, 60):
         assert ngram_join.needed(x) == next(n for n in range(x + 1) if 100 * n >= 80 * x)
