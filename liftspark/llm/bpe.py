@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from . import textvec
 from .textvec import BLOCK, mix
 
-MAX_STATES = 200_000
-MAX_PAIRS = 1_000_000
-SLOTS_BITS = 21
-MAX_POOL = 1 << 24  # token ids kept for pieces, 4 bytes each
+MAX_STATES = 50_000
+MAX_PAIRS = 200_000
+SLOTS_BITS = 20
+MAX_POOL = 1 << 22  # token ids kept for pieces, 4 bytes each
 CHUNK = 1 << 16  # tokens decoded at once
 
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

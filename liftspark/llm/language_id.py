@@ -84,8 +84,8 @@ def counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
             spans = [(i, buf, offsets, x, letter)]
         else:
             spans = []
-            for a in range(0, j - i, 256):
-                o = offsets[a : a + 257]
+            for a in range(0, j - i, 128):
+                o = offsets[a : a + 129]
                 part = buf[o[0] : o[-1]]
                 seen = np.concatenate(([0], np.cumsum(_ASCII_LETTER[part])))
                 o = o - o[0]
