@@ -10,11 +10,11 @@ are then compared along it, and the text is contaminated by the item if
 at least ``AGREE`` of them. Words are runs of letters, digits and characters
 beyond ASCII, A-Z lower-cased.
 
-The scan tests each hash against a bit table of fixed size and hands on
-segments of the text around what may be a hit; joins decide. Only those
-segments are shuffled, keyed by row, so a passage that a third of all texts
-hold makes one small row each. The benchmark's seeds are broadcast only up to
-``BROADCAST_SEEDS`` rows.
+The scan tests each hash against a bit table of fixed size, then against the
+sorted seeds while these number at most ``BROADCAST_SEEDS`` (8 bytes each),
+and hands on segments of the text around what may be a hit; joins decide.
+Only those segments are shuffled, keyed by row, so a passage that a third of
+all texts hold makes one small row each.
 
 Items of fewer words than the shortest seed are found where all their words
 follow each other; items without words are never found.
@@ -87,10 +87,11 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["item", "item_id", "size", "item_words", "place", "hash"])
 
 
-def _segments(table: np.ndarray, masks: list[str], context: int):
+def _segments(shared, masks: list[str], context: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        table, known = shared.value
         segment = TaskContext.get().partitionId() << 40
         names = ["segment", "doc_id", "mark", "begin", "n_words", "words", "at", "hash"]
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -102,6 +103,8 @@ def _segments(table: np.ndarray, masks: list[str], context: int):
                 for m in masks:
                     s = seeds(w.hash, m)
                     at = np.flatnonzero(table[(s >> np.uint64(64 - BITS)).astype(np.int64)])
+                    if known is not None:
+                        at = at[known[np.minimum(np.searchsorted(known, s[at]), len(known) - 1)] == s[at]] if len(known) else at[:0]
                     doc = np.searchsorted(w.first, at, side="right") - 1
                     at = at[at + len(m) <= w.first[doc + 1]]
                     found.append(at)
@@ -160,14 +163,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WIND
     """doc_id, mark, item_id, n_matched, first_word, end_word, share: the best stretch of each contaminated (row, item)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_seeds, "item long, item_id long, size int, item_words binary, place array<int>, hash array<long>")
     items = written(items, "benchmark-items")
-    table = _bit_table(items)
     sizes = sorted(r["size"] for r in items.where((F.col("size") > 0) & (F.col("size") < _SHORTEST)).select("size").distinct().collect())
     masks = [*MASKS, *("1" * n for n in sizes)]
+    places = items.select("item", F.explode(F.arrays_zip("place", "hash")).alias("s")).select("item", F.col("s.place").alias("place"), F.col("s.hash").alias("hash"))
+    small = places.count() <= BROADCAST_SEEDS
+    known = np.sort(places.select("hash").distinct().toPandas()["hash"].to_numpy().astype(np.int64).view(np.uint64)) if small else None
+    shared = docs.sparkSession.sparkContext.broadcast((_bit_table(items), known))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (mark if mark is not None else F.lit(0).cast("long")).alias("mark"))
-    found = base.mapInArrow(_segments(table, masks, CONTEXT), "segment long, doc_id long, mark long, begin long, n_words long, words binary, at array<long>, hash array<long>")
+    found = base.mapInArrow(_segments(shared, masks, CONTEXT), "segment long, doc_id long, mark long, begin long, n_words long, words binary, at array<long>, hash array<long>")
     found = written(found, "decontamination-segments")
-    places = items.select("item", F.explode(F.arrays_zip("place", "hash")).alias("s")).select("item", F.col("s.place").alias("place"), F.col("s.hash").alias("hash"))
-    if places.count() <= BROADCAST_SEEDS:
+    if small:
         places = F.broadcast(places)
     hits = found.select("segment", F.explode(F.arrays_zip("at", "hash")).alias("s")).select("segment", F.col("s.at").alias("at"), F.col("s.hash").alias("hash"))
     pairs = hits.join(places, "hash").select("segment", "item", (F.col("at") - F.col("place")).cast("int").alias("diagonal")).distinct()
