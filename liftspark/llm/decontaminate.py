@@ -16,8 +16,13 @@ and hands on segments of the text around what may be a hit; joins decide.
 Only those segments are shuffled, keyed by row, so a passage that a third of
 all texts hold makes one small row each.
 
-Items of fewer words than the shortest seed are found where all their words
-follow each other; items without words are never found.
+The masks of a window's length are such that one of them hits wherever the
+tolerated substitutions fall (two in 13 words), so that every window that
+would be accepted is compared. Only masks that the benchmark's items need are
+run over the texts.
+
+Items of fewer than ``SHORTEST`` words are found where all their words follow
+each other; items without words are never found.
 
 Defined cases: null and empty texts are clean; a null item text has no words;
 repeated rows and items count each, rows with a null doc_id are judged as all
@@ -37,15 +42,22 @@ from . import textvec
 from .storage import without, written
 from .textvec import ALNUM, Words, mix
 
-#: Masks of weight eight: fixed values.
-MASKS = ("11111111", "110110110101", "1011001110011", "11101000111001")
 WINDOW = 13
 AGREE = 0.8
+#: By words compared (an item's, at most WINDOW): masks of which one misses the substitutions, wherever as many fall as AGREE lets pass. Fixed values, found by search.
+MASKS = {
+    8: ("110111", "10111001"),
+    9: ("1101111", "111100011"),
+    10: ("110111", "110001101", "1011000011"),
+    11: ("1101111", "111100011", "1100011011"),
+    12: ("11011111", "111110011", "111101011", "11000110111"),
+    13: ("111011111", "111111011", "1111101011", "11010011111", "111001100111"),
+}
+SHORTEST = 8  # words of an item that may have substitutions
 CONTEXT = 96  # words kept on either side of a hit
 BITS = 22
 BROADCAST_SEEDS = 1_000_000
 
-_SHORTEST = min(map(len, MASKS))
 _KEYS = mix(np.arange(7001, 7065, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -61,30 +73,49 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return mix(out + np.uint64(int(mask, 2) & 0xFFFFFFFF))
 
 
-def _masks_of(n: int) -> list[str]:
-    return ["1" * n] if 0 < n < _SHORTEST else list(MASKS) if n else []
+def _need(n: int, window: int, agree: float) -> int:
+    """How many places of a window must agree for an item of n words."""
+    size = min(window, n)
+    return int(np.ceil(agree * size - 1e-9)) if n >= SHORTEST else size
+
+
+def _masks_of(n: int, window: int = WINDOW, agree: float = AGREE) -> list[str]:
+    """Masks for an item of n words that hit in every window which ``agreement`` accepts."""
+    size = min(window, n)
+    if not size:
+        return []
+    spared = size - _need(n, window, agree)
+    if not spared:
+        return ["1" * size]
+    if size in MASKS and spared <= size - _need(size, size, AGREE):
+        return list(MASKS[size])
+    return ["1" * max(1, size // (spared + 1))]  # one piece of spared + 1 is whole
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_seeds(window: int, agree: float):
     """Words of each item and its seeds; items are numbered by their row."""
-    from pyspark import TaskContext
 
-    item = TaskContext.get().partitionId() << 40
-    for b in batches:
-        keys = b["item_id"].to_pylist()
-        for i, _, buf, offsets in textvec.blocks(b["text"]):
-            w = Words(buf, offsets, ALNUM)
-            rows = []
-            for d, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-                h = w.hash[x:y]
-                at, hs = [], []
-                for m in _masks_of(len(h)):
-                    s = seeds(h, m)
-                    at += range(len(s))
-                    hs += s.view(np.int64).tolist()
-                rows.append((item, keys[i + d], len(h), h.tobytes(), at, hs))
-                item += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["item", "item_id", "size", "item_words", "place", "hash"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        item = TaskContext.get().partitionId() << 40
+        for b in batches:
+            keys = b["item_id"].to_pylist()
+            for i, _, buf, offsets in textvec.blocks(b["text"]):
+                w = Words(buf, offsets, ALNUM)
+                rows = []
+                for d, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                    h = w.hash[x:y]
+                    at, hs = [], []
+                    for m in _masks_of(len(h), window, agree):
+                        s = seeds(h, m)
+                        at += range(len(s))
+                        hs += s.view(np.int64).tolist()
+                    rows.append((item, keys[i + d], len(h), h.tobytes(), at, hs))
+                    item += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["item", "item_id", "size", "item_words", "place", "hash"])
+
+    return run
 
 
 def _segments(shared, masks: list[str], context: int):
@@ -109,9 +140,9 @@ def _segments(shared, masks: list[str], context: int):
                     at = at[at + len(m) <= w.first[doc + 1]]
                     found.append(at)
                     hashes.append(s[at])
-                at, hs = np.concatenate(found), np.concatenate(hashes)
-                if not len(at):
+                if not any(map(len, found)):
                     continue
+                at, hs = np.concatenate(found), np.concatenate(hashes)
                 order = np.argsort(at, kind="stable")
                 at, hs = at[order], hs[order]
                 doc = np.searchsorted(w.first, at, side="right") - 1
@@ -136,8 +167,7 @@ def agreement(text: np.ndarray, item: np.ndarray, diagonal: int, window: int, ag
         return None
     same = text[lo + diagonal : hi + diagonal] == item[lo:hi]
     sums = np.concatenate(([0], np.cumsum(same)))
-    need = int(np.ceil(agree * size - 1e-9)) if n >= _SHORTEST else size
-    good = np.flatnonzero(sums[size:] - sums[:-size] >= need)
+    good = np.flatnonzero(sums[size:] - sums[:-size] >= _need(n, window, agree))
     if not len(good):
         return None
     a, b = int(good[0]), int(good[-1]) + size
@@ -161,10 +191,10 @@ def _verify(window: int, agree: float):
 
 def matches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
     """doc_id, mark, item_id, n_matched, first_word, end_word, share: the best stretch of each contaminated (row, item)."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_seeds, "item long, item_id long, size int, item_words binary, place array<int>, hash array<long>")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_seeds(window, agree), "item long, item_id long, size int, item_words binary, place array<int>, hash array<long>")
     items = written(items, "benchmark-items")
-    sizes = sorted(r["size"] for r in items.where((F.col("size") > 0) & (F.col("size") < _SHORTEST)).select("size").distinct().collect())
-    masks = [*MASKS, *("1" * n for n in sizes)]
+    sizes = [r["n"] for r in items.select(F.least("size", F.lit(max(window, SHORTEST))).alias("n")).distinct().collect()]
+    masks = sorted({m for n in sizes for m in _masks_of(n, window, agree)})
     places = items.select("item", F.explode(F.arrays_zip("place", "hash")).alias("s")).select("item", F.col("s.place").alias("place"), F.col("s.hash").alias("hash"))
     small = places.count() <= BROADCAST_SEEDS
     known = np.sort(places.select("hash").distinct().toPandas()["hash"].to_numpy().astype(np.int64).view(np.uint64)) if small else None

@@ -1,6 +1,7 @@
 """The operators against plain versions, over small tables with nulls, odd texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import random
 
 import brute
@@ -351,6 +352,43 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0 and decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_masks_hit_every_accepted_placement():
+    """All placements of the tolerated substitutions, and of three in 14 words, where a window is accepted."""
+    for n, k in [*((n, n - decontaminate._need(n, 13, 0.8)) for n in range(1, 14)), (14, 2), (14, 3), (16, 3), (18, 4)]:
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        masks = [[j for j, m in enumerate(mask) if m == "1"] for mask in decontaminate._masks_of(n)]
+        for places in itertools.combinations(range(n), k):
+            text = item.copy()
+            text[list(places)] = 0
+            if decontaminate.agreement(text, item, 0, 13, 0.8):
+                assert any(all(text[i + j] for j in m) for m in masks for i in range(n - m[-1])), (n, places)
+    for window, agree in ((13, 0.9), (13, 0.5), (20, 0.8), (5, 0.8), (10, 0.7)):
+        for n in (8, 9, 12, 20):
+            size = min(window, n)
+            masks = [[j for j, m in enumerate(mask) if m == "1"] for mask in decontaminate._masks_of(n, window, agree)]
+            for places in map(set, itertools.combinations(range(size), size - decontaminate._need(n, window, agree))):
+                assert any(places.isdisjoint(i + j for j in m) for m in masks for i in range(size - m[-1])), (window, agree, n, places)
+
+
+def test_decontamination_by_brute_force(spark):
+    r = random.Random(12)
+    items = [words(r, n, 10**6) for n in range(8, 17) for _ in range(2)]
+    texts = []
+    for x in items:
+        for k in (1, 1, 2, 2, 3, 4):
+            w = x.split()
+            for i in r.sample(range(len(w)), k):
+                w[i] = f"other{r.randrange(10**6)}"
+            texts.append(f"{words(r, 20, 10**6)} {' '.join(w)} {words(r, 20, 10**6)}")
+    w = items[10].split()
+    assert len(w) == 13
+    texts.append(" ".join([*w[:7], "swap", *w[8:]]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(frame(spark, texts), benchmark).collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if brute.contaminated(t, x)}
+    assert got == want and (len(texts) - 1, 10) in want
+
+
 def test_language_id(spark):
     r = random.Random(8)
     lexicon = {"aa": "lorem ipsum dolor sit amet elit sed".split(), "bb": "zwk grzyb trzy szcz krzyk".split(), "cc": "ακτή θάλασσα νησί".split()}
