@@ -14,9 +14,11 @@ the statistic.
 False discoveries: the null is ordinary text. Its statistics come from all
 long plain words of the corpus (runs of 16 or more letters of one case, with
 or without a capital) in classes of length, counted while scanning and added
-up in Spark, on top of a fixed set of joined common words. A candidate's
-p-value is the share of its class's null strings that look at least as
-random. Benjamini-Hochberg at ``RATE`` over all candidates, with
+up in Spark, on top of fixed sets of joined common words and of path-like
+strings. A candidate's p-value is the share of its class's null strings that
+look at least as random. Where none does, and nowhere below it, it is the tail
+of a log-normal distribution fitted to the lower half of the path-like
+strings, so that no number of null strings bounds it from below. Benjamini-Hochberg at ``RATE`` over all candidates, with
 p-values of a class weighted by its length (longer strings give the tests
 more power), yields one bound per class. Only the two histograms, of
 ``len(CLASSES) * BINS`` cells, reach the driver.
@@ -63,7 +65,7 @@ _ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64": "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",  # letters of one case side by side, which sets words apart
 }
 _INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in _ALPHABETS.items()}
 _COMMON = "about after again before below between could every first found great house large learn never other place plant point right small sound spell still study their there these thing think three water where which world would write number people company language information".split()
@@ -82,15 +84,15 @@ def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def statistic(s: str, enc: str | None = None) -> int:
-    """Bin of -2 log10 of the joined p-value under uniform randomness; 0 looks most random."""
+def score(s: str, enc: str | None = None) -> float:
+    """-2 log10 of the joined p-value under uniform randomness."""
     enc = enc or encoding(s)
     index = _INDEX[enc]
     body = s.rstrip("=").translate({45: 43, 95: 47}) if enc == "base64" else s.lower() if enc == "hex" else s
     x = np.array([index[c] for c in body if c in index], dtype=np.float64)
     n, m = len(x), len(index)
     if n < 8:
-        return BINS - 1
+        return BINS - 1.0
     found = np.bincount(x.astype(np.int64), minlength=m)
     chi = float((found.astype(np.float64) ** 2).sum() * m / n - n)
     p = [0.5 * math.erfc((chi - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n) / math.sqrt(2))]
@@ -109,7 +111,12 @@ def statistic(s: str, enc: str | None = None) -> int:
     p.append(_normal_tail((float((c[1:] * c[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 2.0 ** (1 - n))
     half = -sum(math.log(max(v, 1e-300)) for v in p)  # half of Fisher's statistic, of 6 degrees of freedom
     logp = -half + math.log(1 + half + half * half / 2)
-    return min(BINS - 1, int(-2 * logp / math.log(10)))
+    return -2 * logp / math.log(10)
+
+
+def statistic(s: str, enc: str | None = None) -> int:
+    """Bin of the score; 0 looks most random."""
+    return min(BINS - 1, int(score(s, enc)))
 
 
 def length_class(n: int) -> int:
@@ -117,8 +124,9 @@ def length_class(n: int) -> int:
 
 
 @lru_cache(maxsize=1)
-def _fixed_null() -> np.ndarray:
-    """Statistics of joined common words, FIXED for each class of length."""
+def _fixed_null() -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of joined common words and of path-like strings, FIXED of each for each class of length; lower tails of the latter by bin."""
+    tails = np.empty((len(CLASSES), BINS))
     out = np.zeros((len(CLASSES), BINS), dtype=np.int64)
     state = 12345
     for k, least in enumerate(CLASSES):
@@ -129,13 +137,30 @@ def _fixed_null() -> np.ndarray:
                 w = _COMMON[state // 65536 % len(_COMMON)]
                 s += w.capitalize() if state // 4096 % 2 else w
             out[k, statistic(s, "base62")] += 1
-    return out
+        scores = np.empty(FIXED)
+        for i in range(FIXED):
+            s = ""
+            while len(s) < least:
+                state = (state * 1103515245 + 12345) % 2**31
+                w = _COMMON[state // 65536 % len(_COMMON)]
+                state = (state * 1103515245 + 12345) % 2**31
+                s += ("/", "_", "-", "/", "")[state // 65536 % 5] + (w.capitalize() if state // 4096 % 2 else w)
+                s += str(state // 1024 % 2030) if state // 2**28 % 4 == 0 else ""
+            scores[i] = score(s)
+            out[k, statistic(s)] += 1
+        x = np.log1p(scores)
+        middle = float(np.median(x))
+        spread = float(np.sqrt(np.mean((x[x < middle] - middle) ** 2)))
+        tails[k] = [0.5 * math.erfc((middle - math.log(t + 2)) / spread / math.sqrt(2)) for t in range(BINS)]
+    return out, tails
 
 
 def bounds(null: np.ndarray, candidates: np.ndarray, rate: float = RATE) -> list[int]:
     """For each class the largest bin that is a discovery, or -1."""
-    null = null + _fixed_null()
-    p = (1 + np.cumsum(null, axis=1)) / (1 + null.sum(axis=1, keepdims=True))
+    fixed, tails = _fixed_null()
+    null = null + fixed
+    below = np.cumsum(null, axis=1)
+    p = np.where(below > 0, np.maximum((1 + below) / (1 + null.sum(axis=1, keepdims=True)), tails), tails)
     weight = np.log2(np.array(CLASSES, dtype=np.float64))[:, None]
     total = candidates.sum()
     if not total:

@@ -321,6 +321,34 @@ def test_randomness_battery():
     assert secret_scan.bounds(np.zeros((7, 80), dtype=int), np.zeros((7, 80), dtype=int)) == [-1] * 7
 
 
+def test_random_keys_among_many_ordinary_names(spark):
+    r = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = "usr local share lib python site packages index document request handler manager config service client buffer value image table report final draft user account order customer release build test module".split()
+
+    def name():
+        s, least, style = "", r.choice((20, 24, 32, 40, 64, 90)), r.randrange(4)
+        while len(s) < least:
+            w = r.choice(names)
+            s += (w.capitalize(), "/" + w, w + "_", w.capitalize() + "-")[style] + (str(r.randrange(3000)) if r.random() < 0.2 else "")
+        return s
+
+    key = "".join(r.choices(alphabet, k=64))
+    texts = [" ".join(name() for _ in range(20)) for _ in range(400)]
+    without = [x["spans"] for x in secret_scan.secret_scan(frame(spark, texts)).collect()]
+    assert not any(without)
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.secret_scan(frame(spark, [*texts, f"the key {key} ends"])).collect()}
+    assert {i: x for i, x in got.items() if x} == {len(texts): "random:8:72"}
+    # By themselves: most random strings of 64 characters and more are discoveries among 100,000 candidates that aren't.
+    candidates = np.zeros((7, 80), dtype=int)
+    candidates[:, 60] = 100_000 // 7
+    for k, least in ((5, 64), (6, 128)):
+        drawn = np.bincount([secret_scan.statistic("".join(r.choices(alphabet, k=least))) for _ in range(200)], minlength=80)
+        one = candidates.copy()
+        one[k, int(np.median(np.repeat(np.arange(80), drawn)))] += 1
+        assert drawn[: secret_scan.bounds(np.zeros((7, 80), dtype=int), one)[k] + 1].sum() > 100
+
+
 def test_license_scan(spark):
     texts = [None, "", "MIT License", "mit-license and mit, license", "the apache license (apache license)", "GNU General Public License v3, general public", "mit é license", "mitlicense", " ".join(["MIT license"] * 500), "Intro. " + license_scan.TEMPLATES[0][1].upper() + " outro", license_scan.TEMPLATES[6][1].replace("binary", "compiled"), "permission is hereby granted free"]
     got = {x["doc_id"]: x for x in license_scan.license_scan(frame(spark, texts)).collect()}
