@@ -7,11 +7,12 @@ length one. For each language up to ``CENTROIDS`` centroids are fitted by
 spherical k-means; a text takes the language of the centroid with the largest
 cosine, which is its score.
 
-Fitting uses a bounded sample, chosen by a hash of doc_id: at most
-``SAMPLE`` labelled texts in all, evenly over at most ``LANGUAGES`` languages
-(the most frequent ones). The executors turn the sample into vectors, so the
-driver holds at most SAMPLE vectors of BUCKETS entries. Prediction reads
-every text whole.
+Document frequencies are counted over all labelled texts. Centroids are fitted
+to a bounded sample, chosen by a hash of doc_id: at most ``SAMPLE`` labelled
+texts in all, evenly over all languages, and at least one of each. The
+executors turn the sample into vectors, so the driver holds at most SAMPLE
+vectors of BUCKETS entries, or one for each language if these are more; the
+model has no more centroids than that. Prediction reads every text whole.
 
 Rejection: a text is rejected if its cosine is below half of what the most
 distant half per cent of the sample has, a bound that falls with the square
@@ -40,7 +41,6 @@ from .textvec import BLOCK
 
 BUCKETS = 8192
 SAMPLE = 2000
-LANGUAGES = 200
 CENTROIDS = 3
 FULL = 400
 UNDETERMINED = "und"
@@ -137,25 +137,40 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts with a letter hold each bucket, then how many there are."""
+    out = np.zeros(BUCKETS + 1, dtype=np.int64)
+    for b in batches:
+        for _, x, _, letter in counts(b["text"]):
+            out[:-1] += np.count_nonzero(x[letter], axis=0)
+            out[-1] += np.count_nonzero(letter)
+    yield pa.RecordBatch.from_pydict({"texts": pa.array([out], pa.list_(pa.int64()))})
+
+
 def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model | None:
-    """Learns from at most ``sample`` of the rows where ``learnable`` holds and text and lang are not null."""
+    """Learns from the rows where ``learnable`` holds and text, lang and doc_id are not null: centroids from at most ``sample`` of them, or one for each language."""
     rows = docs.where(learnable & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    lettered = rows.where(F.col("text").rlike(r"\p{L}"))
+    sizes = [(r["lang"], r["n"]) for r in lettered.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
     if not sizes:
         return None
     each = max(1, sample // len(sizes))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_003))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1_000_003, int(2_000_006 * each / n) + 1000))]), F.col("lang"))
+    # Spares most texts the sort; the least ``each`` chances of a language are below it.
+    share = F.least(F.lit(1_000_003), (F.lit(1_000_003 * (2 * each + 40)) / F.col("n")).cast("long") + 1000)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id"))
-    picked = rows.withColumn("chance", chance).where(F.col("chance") < share).withColumn("rank", rank).where(F.col("rank") <= each)
+    labels = F.broadcast(docs.sparkSession.createDataFrame(sizes, "lang string, n long"))
+    picked = lettered.join(labels, "lang").withColumn("chance", chance).where(F.col("chance") < share).withColumn("rank", rank).where(F.col("rank") <= each)
     got = picked.select("doc_id", "text", "lang").mapInArrow(_sparse, "doc_id long, lang string, size long, letter boolean, places binary, n binary").where("letter").toPandas().sort_values(["lang", "doc_id", "size"])
     if not len(got):
         return None
     x = np.zeros((len(got), BUCKETS), dtype=np.float32)
     for i, (p, n) in enumerate(zip(got["places"], got["n"], strict=True)):
         x[i, np.frombuffer(p, "<u2")] = np.frombuffer(n, "<u4")
-    df = (x > 0).sum(axis=0)
-    idf = (np.log((1 + len(x)) / (1 + df)) + 1).astype(np.float32)
+    texts = np.zeros(BUCKETS + 1, dtype=np.int64)
+    for r in rows.select("text").mapInArrow(_frequencies, "texts array<long>").select(F.posexplode("texts").alias("bucket", "n")).where("n > 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        texts[r["bucket"]] = r["n"]
+    idf = (np.log((1 + texts[-1]) / (1 + texts[:-1])) + 1).astype(np.float32)
     model = Model(sorted(set(got["lang"])), idf, np.empty(0), np.empty(0), 0.0)
     v = model.vectors(x)
     lang = got["lang"].to_numpy()

@@ -441,6 +441,30 @@ def test_language_id(spark):
     assert language_id.language_id(df.limit(0)).count() == 0
 
 
+def test_language_id_learns_every_label(spark):
+    r = random.Random(17)
+    rows, n = [], 0
+    for k in range(230):
+        lexicon = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)]
+        for _ in range(2 if k == 0 else 4):
+            while brute.crc(n, 4) == 2:  # none held out
+                n += 1
+            rows.append((n, " ".join(r.choices(lexicon, k=60)), f"l{k}"))
+            n += 1
+    rows.append((n + 1 if brute.crc(n, 4) == 2 else n, "123", "l0"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    everything = F.lit(True)
+    model = language_id.fit(df, everything)
+    assert len(model.languages) == 230
+    got = {x["doc_id"]: x["lang_pred"] for x in language_id.language_id(df).collect()}
+    assert all(got[d] == lang for d, _, lang in rows[:-1])
+    # One text of each label is learned where the sample allows no more; all are counted.
+    small = language_id.fit(df, everything, sample=50)
+    assert len(small.languages) == small.centroids.shape[1] == 230 and np.array_equal(small.idf, model.idf)
+    x = np.concatenate([x for _, x, _, _ in language_id.counts(pa.array([t for _, t, _ in rows[:-1]]))])
+    assert np.allclose(model.idf, np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1)
+
+
 def test_shared_folder_is_the_session_s(spark, tmp_path):
     table = storage.written(spark.range(3), "t")
     assert table.count() == 3 and table.inputFiles()[0].startswith("file:")
