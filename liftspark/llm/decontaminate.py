@@ -22,7 +22,10 @@ would be accepted is compared. Only masks that the benchmark's items need are
 run over the texts.
 
 Items of fewer than ``SHORTEST`` words are found where all their words follow
-each other; items without words are never found.
+each other; items without words are never found. Such an item says nothing of
+a text if ordinary texts hold it too: ``contaminated`` tells all matches, but
+``decontaminated`` drops no text for a short item that more texts hold than
+``RARE`` of all, and more than ``RARE_TEXTS``.
 
 Defined cases: null and empty texts are clean; a null item text has no words;
 repeated rows and items count each, rows with a null doc_id are judged as all
@@ -54,6 +57,8 @@ MASKS = {
     13: ("111011111", "111111011", "1111101011", "11010011111", "111001100111"),
 }
 SHORTEST = 8  # words of an item that may have substitutions
+RARE = 1e-4
+RARE_TEXTS = 2
 CONTEXT = 96  # words kept on either side of a hit
 BITS = 22
 BROADCAST_SEEDS = 1_000_000
@@ -179,18 +184,18 @@ def _verify(window: int, agree: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, mark, item_id, begin, size, words, item, diagonal in zip(*(b[c].to_pylist() for c in ("doc_id", "mark", "item_id", "begin", "size", "words", "item_words", "diagonal")), strict=True):
+            for doc, mark, number, item_id, begin, size, words, item, diagonal in zip(*(b[c].to_pylist() for c in ("doc_id", "mark", "item", "item_id", "begin", "size", "words", "item_words", "diagonal")), strict=True):
                 got = agreement(np.frombuffer(words, np.uint64), np.frombuffer(item, np.uint64), diagonal, window, agree)
                 if got:
-                    rows.append((doc, mark, item_id, got[0], begin + got[1], begin + got[2], got[0] / size))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=["doc_id", "mark", "item_id", "n_matched", "first_word", "end_word", "share"])
+                    rows.append((doc, mark, number, item_id, got[0], begin + got[1], begin + got[2], got[0] / size))
+            types = (*[pa.int64()] * 7, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=["doc_id", "mark", "item", "item_id", "n_matched", "first_word", "end_word", "share"])
 
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
-    """doc_id, mark, item_id, n_matched, first_word, end_word, share: the best stretch of each contaminated (row, item)."""
+def stretches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
+    """doc_id, mark, item (its row's number), item_id, n_matched, first_word, end_word, share: the stretch on each diagonal of a contaminated row."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_seeds(window, agree), "item long, item_id long, size int, item_words binary, place array<int>, hash array<long>")
     items = written(items, "benchmark-items")
     sizes = [r["n"] for r in items.select(F.least("size", F.lit(max(window, SHORTEST))).alias("n")).distinct().collect()]
@@ -207,9 +212,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WIND
     hits = found.select("segment", F.explode(F.arrays_zip("at", "hash")).alias("s")).select("segment", F.col("s.at").alias("at"), F.col("s.hash").alias("hash"))
     pairs = hits.join(places, "hash").select("segment", "item", (F.col("at") - F.col("place")).cast("int").alias("diagonal")).distinct()
     full = pairs.join(found.drop("at", "hash"), "segment").join(items.select("item", "item_id", "size", "item_words"), "item")
-    checked = full.select("doc_id", "mark", "item_id", "begin", "size", "words", "item_words", "diagonal").mapInArrow(_verify(window, agree), "doc_id long, mark long, item_id long, n_matched long, first_word long, end_word long, share double")
+    return full.select("doc_id", "mark", "item", "item_id", "begin", "size", "words", "item_words", "diagonal").mapInArrow(_verify(window, agree), "doc_id long, mark long, item long, item_id long, n_matched long, first_word long, end_word long, share double")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
+    """doc_id, mark, item_id, n_matched, first_word, end_word, share: the best stretch of each contaminated (row, item)."""
     best = F.max(F.struct("n_matched", (-F.col("first_word")).alias("before"), "end_word", "share")).alias("b")
-    return checked.groupBy("doc_id", "mark", "item_id").agg(best).select("doc_id", "mark", "item_id", "b.n_matched", (-F.col("b.before")).alias("first_word"), "b.end_word", "b.share")
+    return stretches(docs, benchmark, mark, window, agree).groupBy("doc_id", "mark", "item_id").agg(best).select("doc_id", "mark", "item_id", "b.n_matched", (-F.col("b.before")).alias("first_word"), "b.end_word", "b.share")
 
 
 def _bit_table(items: DataFrame) -> np.ndarray:
@@ -232,5 +241,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     while tag in names:
         tag += "_"
     key = F.xxhash64(F.col("text"), F.lit("decontamination"))
-    drop = written(matches(docs, benchmark, mark=key).select(F.col("mark").alias(tag)).distinct(), "decontamination-drop")
+    found = written(stretches(docs, benchmark, mark=key).select("mark", "item", ((F.col("n_matched") < SHORTEST) & (F.col("share") == 1)).alias("short")).distinct(), "decontamination-found")
+    common = found.where("short").groupBy("item").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > max(RARE_TEXTS, RARE * docs.count()))
+    drop = written(found.join(common, "item", "left_anti").select(F.col("mark").alias(tag)).distinct(), "decontamination-drop")
     return without(docs.withColumn(tag, key), drop, tag).select(*[F.col(f"`{c}`") for c in names])

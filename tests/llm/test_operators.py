@@ -417,6 +417,18 @@ def test_decontamination_by_brute_force(spark):
     assert got == want and (len(texts) - 1, 10) in want
 
 
+def test_short_items_drop_no_ordinary_texts(spark):
+    r = random.Random(13)
+    long, three = words(r, 20, 10**6), words(r, 3, 10**6)
+    items = [(0, "Paris"), (1, "of the"), (2, three), (3, long), (4, "canary-7f3a"), (4, "and")]
+    texts = {i: f"{words(r, 30, 10**6)} paris and one of the {words(r, 30, 10**6)}" for i in range(20)}
+    texts |= {30: f"{texts[0]} {three} end", 31: f"Paris {long}", 32: f"of the canary 7F3A {words(r, 5)}", 33: words(r, 30, 10**6)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(frame(spark, texts), benchmark).collect()}
+    assert got == {(d, i) for d, t in texts.items() for i, x in items if brute.contaminated(t, x)} and len(got) > 60
+    assert {x["doc_id"] for x in decontaminate.decontaminated(frame(spark, texts), benchmark).collect()} == {*range(20), 33}
+
+
 def test_language_id(spark):
     r = random.Random(8)
     lexicon = {"aa": "lorem ipsum dolor sit amet elit sed".split(), "bb": "zwk grzyb trzy szcz krzyk".split(), "cc": "ακτή θάλασσα νησί".split()}
