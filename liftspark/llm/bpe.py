@@ -13,23 +13,28 @@ longest token. States and transitions are made when first met, kept in
 tables of bounded size, and dropped when those are full.
 
 A piece that is itself in the rank file is that token, as in the usual
-encoder. Results of pieces are kept in a direct-mapped table of fixed size.
+encoder. Results of pieces are kept in a direct-mapped table of fixed size
+under their hashes; a block whose tokens don't spell its bytes piece by piece
+(two pieces had one hash) is encoded again without the table. The pieces that
+the table lacks take their steps through the transducer together.
 
 Decoding looks tokens up in a byte pool, chunk by chunk; an incremental
 UTF-8 state machine lets out whole characters and holds an unfinished one
-until its bytes arrive.
+until its bytes arrive. Encoding documents decodes each again, compares every
+byte, and raises if one differs.
 
 Defined cases: a null text counts as empty and has no tokens; empty tables
 give empty results; repeated rows give a row each; null doc_ids stay; texts
-of any length are cut only between pieces; other columns are ignored.
+of any length are cut only between pieces; a token that many texts share is
+nothing special (there are no ties to break); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +43,17 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .textvec import BLOCK, mix
+from .workers import hold, task
 
-MAX_STATES = 50_000
+MAX_STATES = 400_000
 MAX_PAIRS = 200_000
 SLOTS_BITS = 20
 MAX_POOL = 1 << 22  # token ids kept for pieces, 4 bytes each
 CHUNK = 1 << 16  # tokens decoded at once
 
+LOCKSTEP = 64  # bytes; longer pieces are encoded one by one
+
+_U = np.uint64
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
@@ -53,19 +62,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_pair_by_pair(ranks: dict[bytes, int], piece: bytes) -> list[int]:
-    """The plain rule: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
+def merge_pair_by_pair(ranks: dict[bytes, int], piece: bytes, below: int = 1 << 60) -> list[int]:
+    """The plain rule: merge the adjacent pair of lowest rank, leftmost first, until none is left of a rank below ``below``."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
-        if parts[best] + parts[best + 1] not in ranks:
+        found = [ranks.get(a + b, below) for a, b in zip(parts, parts[1:])]
+        best = found.index(min(found))
+        if found[best] >= below:
             break
         parts[best : best + 2] = [parts[best] + parts[best + 1]]
     return [ranks[p] for p in parts]
 
 
 class Transducer:
-    """Encodes one piece; deterministic states are made as inputs need them."""
+    """Encodes one piece; deterministic states are made as inputs need them.
+
+    A state is one row of integers: for each live beginning the tokens not yet
+    emitted, how many these are, the last token, and the trie node, so that it
+    is read from its end. One beginning stands behind all bytes read; its
+    tokens are emitted where a piece ends. Moves stand in a hash table in
+    arrays, so that many pieces take a step at once. When there are more than
+    ``MAX_STATES`` states all are dropped and made again as needed."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -83,74 +100,224 @@ class Transducer:
                     nodes += 1
                 node = nxt
             self.token[node] = r
-        self.sound: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start = ((0, -1, ()),)
-        self.ids = {start: 0}
-        self.states = [start]
-        self.finals: list[tuple[int, ...]] = [()]
-        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}
-
-    def _alone(self, t: int) -> bool:
-        """Whether a token's bytes merge to that token."""
-        if (ok := self.sound.get(t)) is None:
-            ok = self.sound[t] = merge_pair_by_pair(self.ranks, self.bytes_of[t]) == [t]
-        return ok
+        self.ids: dict[bytes, int] = {}
+        self.states: list[bytes] = []
+        self.outs: list[tuple[int, ...]] = [()]
+        self.out_ids: dict[tuple[int, ...], int] = {(): 0}
+        self.finals = np.zeros(1 << 12, dtype=np.int64)  # state -> what is emitted at a piece's end
+        # state << 8 | byte, plus one -> what is emitted << 32 | next state: open addressing
+        self.keys = np.zeros(1 << 16, dtype=np.uint64)
+        self.moves = np.zeros(1 << 16, dtype=np.int64)
+        self.n_moves = 0
+        self._told = (0, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
+        self._state(_pack_state([0, -1, 0]), ())
+
+    def _out(self, out: tuple[int, ...]) -> int:
+        told = self.out_ids.get(out)
+        if told is None:
+            told = self.out_ids[out] = len(self.outs)
+            self.outs.append(out)
+        return told
+
+    def _state(self, key: bytes, final: tuple[int, ...]) -> int:
+        state = self.ids.get(key)
+        if state is None:
+            state = self.ids[key] = len(self.states)
+            self.states.append(key)
+            if state == len(self.finals):
+                self.finals = np.concatenate([self.finals, np.zeros_like(self.finals)])
+            self.finals[state] = self._out(final)
+        return state
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _U(0x9E3779B97F4A7C15) >> _U(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """Moves of these keys, -1 where there is none yet."""
+        slot, last = self._slots(keys), len(self.keys) - 1
+        held = self.keys[slot]
+        found = np.where(held == keys, self.moves[slot], -1)
+        open_ = np.flatnonzero((held != keys) & (held != 0))
+        while len(open_):
+            slot[open_] = at = (slot[open_] + 1) & last
+            held, want = self.keys[at], keys[open_]
+            hit = held == want
+            found[open_[hit]] = self.moves[at[hit]]
+            open_ = open_[~hit & (held != 0)]
+        return found
+
+    def _keep(self, keys: np.ndarray, moves: np.ndarray) -> None:
+        if 2 * (self.n_moves + len(keys)) > len(self.keys):
+            was, size = (self.keys, self.moves), len(self.keys)
+            while 2 * (self.n_moves + len(keys)) > size:
+                size *= 2
+            self.keys, self.moves, self.n_moves = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64), 0
+            full = was[0] != 0
+            self._keep(was[0][full], was[1][full])
+        self.n_moves += len(keys)
+        slot, last = self._slots(keys), len(self.keys) - 1
+        left = np.arange(len(keys))
+        while len(left):  # each free place goes to one of those that want it
+            at = slot[left]
+            free = self.keys[at] == 0
+            won = left[free]
+            self.keys[at[free]] = keys[won]
+            lost = self.keys[slot[left]] != keys[left]
+            kept = left[~lost]
+            self.moves[slot[kept]] = moves[kept]
+            left = left[lost]
+            slot[left] = (slot[left] + 1) & last
+
+    def _halves(self, t: int) -> tuple[int, ...]:
+        """The two tokens whose merge makes this one; none of a single byte, and (-1,) if its bytes merge to something else."""
+        if (got := self.halves.get(t)) is None:
+            parts = merge_pair_by_pair(self.ranks, self.bytes_of[t], t)
+            got = () if len(self.bytes_of[t]) == 1 else (parts[0], parts[1]) if len(parts) == 2 and self.ranks.get(self.bytes_of[parts[0]] + self.bytes_of[parts[1]]) == t else (-1,)
+            self.halves[t] = got
+        return got
 
     def _follows(self, a: int, b: int) -> bool:
-        """Whether token b may stand behind token a."""
+        """Whether token b may stand behind token a: no merge across their border comes before those that make them.
+
+        At the border stands one token at a time of those that end a, and of those that begin b. A merge of two
+        goes ahead if its rank is below that of the merge that takes up the left one (of equal merges the leftmost
+        is first), and not above that of the merge that takes up the right one."""
         key = a << 32 | b
         if (ok := self.pairs.get(key)) is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[key] = merge_pair_by_pair(self.ranks, self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            x, y, taken_x, taken_y, ok = a, b, 1 << 60, 1 << 60, True
+            while True:
+                merged = self.ranks.get(self.bytes_of[x] + self.bytes_of[y])
+                if merged is not None and merged < taken_x and merged <= taken_y:
+                    ok = False
+                    break
+                # Before the younger of the two there was its half.
+                left, right = self._halves(x), self._halves(y)
+                if left and (x > y or not right):
+                    x, taken_x = left[1], x
+                elif right:
+                    y, taken_y = right[0], y
+                else:
+                    break
+            self.pairs[key] = ok
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
+    def _move(self, state: int, byte: int) -> int:
         live, reached = [], None
-        for node, last, pending in self.states[state]:
+        s = _read_state(self.states[state])
+        i = len(s)
+        n = 1 << 30
+        while i:
+            node, last, k = s[i - 1], s[i - 2], s[i - 3]
+            i -= 3 + k
             child = self.trie.get(node << 8 | byte)
             if child is None:
                 continue
+            pending = s[i : i + k]
             live.append((child, last, pending))
-            t = self.token.get(child)
-            if t is not None and reached is None and self._alone(t) and (last < 0 or self._follows(last, t)):
-                reached = (0, t, (*pending, t))
+            if k < n:
+                n, common = k, pending
+            if reached is None:
+                t = self.token.get(child)
+                if t is not None and self._halves(t) != (-1,) and (last < 0 or self._follows(last, t)):
+                    reached = pending + [t]
+                    ending = (0, t, reached)
         if reached is None:
             raise ValueError("the ranks lack a single byte")
-        live.append(reached)
-        common = min((p for _, _, p in live), key=len)
-        n = len(common)
-        for _, _, p in live:
-            while p[:n] != common[:n]:
-                n -= 1
-        out = common[:n]
-        key = tuple((node, last, p[n:]) for node, last, p in live)
-        nxt = self.ids.get(key)
-        if nxt is None:
-            nxt = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.finals.append(key[-1][2])
-        move = self.moves[state << 8 | byte] = (out, nxt)
-        return move
+        if len(live) == 1 and len(reached) <= n:
+            n, common = len(reached), reached
+        live.append(ending)
+        if n:
+            for _, _, p in live:
+                while p[:n] != common[:n]:
+                    n -= 1
+        flat: list[int] = []
+        for node, last, p in live:
+            flat += p[n:]
+            flat += (len(p) - n, last, node)
+        return self._out(tuple(common[:n])) << 32 | self._state(_pack_state(flat), tuple(reached[n:]))
+
+    def _moved(self, keys: np.ndarray) -> np.ndarray:
+        """Moves of these keys; those not met before are made."""
+        found = self._known(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            u, back = np.unique(keys[new], return_inverse=True)
+            made = np.fromiter((self._move(k >> 8, k & 255) for k in (u - _U(1)).tolist()), dtype=np.int64, count=len(u))
+            self._keep(u, made)
+            found[new] = made[back]
+        return found
+
+    def _tokens(self, outs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of a row of emissions, and how many each has."""
+        n, first, size, flat = self._told
+        if n < len(self.outs):
+            more = self.outs[n:]
+            sizes = np.fromiter(map(len, more), dtype=np.int64, count=len(more))
+            flat = np.concatenate([flat, np.fromiter((t for o in more for t in o), dtype=np.uint32, count=int(sizes.sum()))])
+            size = np.concatenate([size, sizes])
+            first = np.cumsum(size) - size
+            self._told = (len(self.outs), first, size, flat)
+        k = size[outs]
+        total = np.cumsum(k)
+        return flat[np.repeat(first[outs] - (total - k), k) + np.arange(int(total[-1]) if len(total) else 0)], k
 
     def encode(self, piece: bytes) -> list[int]:
+        """Tokens of one piece, byte by byte."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
+        out: list[int] = []
+        state = 0
+        for a in range(0, len(piece), 1 << 16):
+            for byte in piece[a : a + (1 << 16)]:
+                move = int(self._moved(np.array([(state << 8 | byte) + 1], dtype=np.uint64))[0])
+                state = move & 0xFFFFFFFF
+                out += self.outs[move >> 32]
+                if len(self.states) > MAX_STATES:
+                    key, final = self.states[state], self.outs[self.finals[state]]
+                    self._forget()
+                    state = self._state(key, final)
+        return out + list(self.outs[self.finals[state]])
+
+    def encode_many(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of many pieces, and how many each has: all pieces take a step at a time."""
+        size = ends - starts
+        if not len(size):
+            return np.empty(0, dtype=np.uint32), size
         if len(self.states) > MAX_STATES:
             self._forget()
-        out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            if move[0]:
-                out += move[0]
-            state = move[1]
-        out += self.finals[state]
-        return out
+        order = np.argsort(-size, kind="stable")
+        start, size = starts[order], size[order]
+        state = np.zeros(len(size), dtype=np.int64)
+        rows, outs = [], []
+        active = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0])), side="right")
+        for j, m in enumerate(active.tolist()):
+            move = self._moved((state[:m] << 8 | buf[start[:m] + j]).astype(np.uint64) + _U(1))
+            state[:m] = move & 0xFFFFFFFF
+            told = move >> 32
+            some = np.flatnonzero(told)
+            rows.append(order[some])
+            outs.append(told[some])
+        rows.append(order)
+        outs.append(self.finals[state])
+        row, out = np.concatenate(rows), np.concatenate(outs)
+        by_row = np.argsort(row, kind="stable")
+        tokens, k = self._tokens(out[by_row])
+        return tokens, np.bincount(row[by_row], weights=k, minlength=len(size)).astype(np.int64)
+
+
+def _pack_state(flat: list[int]) -> bytes:
+    return array("i", flat).tobytes()
+
+
+def _read_state(key: bytes) -> list[int]:
+    return memoryview(key).cast("i").tolist()
 
 
 def _classes() -> np.ndarray:
@@ -245,11 +412,7 @@ class Codec:
         missed = np.flatnonzero(self.keys[slot] != h)
         if len(missed):
             u, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
-            whole, begin, close = buf.tobytes(), at[missed[first]].tolist(), at[missed[first] + 1].tolist()
-            encode = self.fst.encode
-            got = [encode(whole[a:b]) for a, b in zip(begin, close, strict=True)]
-            n = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            flat = np.fromiter((t for g in got for t in g), dtype=np.uint32, count=int(n.sum()))
+            flat, n = self._encoded(buf, at[missed[first]], at[missed[first] + 1])
             w = self.used + np.cumsum(n) - n
             if self.used + len(flat) > len(self.kept):
                 self.kept = np.concatenate([self.kept[: self.used], np.zeros(max(len(flat), len(self.kept)), dtype=np.uint32)])
@@ -263,9 +426,34 @@ class Codec:
         total = np.cumsum(size)
         begin = total - size
         ids = self.kept[np.repeat(where - begin, size) + np.arange(int(total[-1]))]
+        length = np.cumsum(self.lengths[ids])
+        if not (np.array_equal(length[total - 1], at[1:]) and np.array_equal(self.raw(ids), buf)):
+            # Two pieces share a hash: each of this block's pieces is encoded by itself.
+            ids, size = self._encoded(buf, at[:-1], at[1:])
+            total = np.cumsum(size)
+            begin = total - size
         bounds = np.append(begin, total[-1])[np.searchsorted(at, offsets)]
         return ids, bounds
 
+    def _encoded(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of pieces, and how many each has."""
+        whole, known, n_bytes = buf.tobytes(), self.fst.ranks.get, ends - starts
+        one = np.fromiter((known(whole[a:b], -1) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.int64, count=len(starts))
+        size = np.ones(len(starts), dtype=np.int64)
+        parts, rows = [one[one >= 0].astype(np.uint32)], [np.flatnonzero(one >= 0)]
+        short = np.flatnonzero((one < 0) & (n_bytes <= LOCKSTEP))
+        for a in range(0, len(short), 1 << 13):
+            part = short[a : a + (1 << 13)]
+            tokens, size[part] = self.fst.encode_many(buf, starts[part], ends[part])
+            parts.append(tokens)
+            rows.append(np.repeat(part, size[part]))
+        for i in np.flatnonzero((one < 0) & (n_bytes > LOCKSTEP)).tolist():
+            tokens = np.array(self.fst.encode(whole[starts[i] : ends[i]]), dtype=np.uint32)
+            size[i] = len(tokens)
+            parts.append(tokens)
+            rows.append(np.full(len(tokens), i))
+        return np.concatenate(parts)[np.argsort(np.concatenate(rows), kind="stable")], size
+
     def long_text(self, buf: np.ndarray) -> Iterator[np.ndarray]:
         """Token ids of one text, part by part; parts end before a space between ASCII letters."""
         lo, n = 0, len(buf)
@@ -342,15 +530,21 @@ class Utf8Machine:
         return data
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
-
-
-def _sha(parts: Iterable[bytes]) -> str:
-    h = hashlib.sha256()
-    for p in parts:
-        h.update(p)
+    """The worker's codec for these ranks."""
+    return hold(("bpe", path), lambda: Codec(path))
+
+
+def _decoded(c: Codec, ids: np.ndarray, text: np.ndarray) -> str:
+    """SHA-256 of the decoded bytes, which must be those of the text."""
+    h, at = hashlib.sha256(), 0
+    for part in c.decode([ids]):
+        if not np.array_equal(np.frombuffer(part, dtype=np.uint8), text[at : at + len(part)]):
+            raise ValueError("decoding doesn't give the text")
+        h.update(part)
+        at += len(part)
+    if at != len(text):
+        raise ValueError("decoding doesn't give the whole text")
     return h.hexdigest()
 
 
@@ -367,10 +561,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
         for b in batches:
             keys = b["doc_id"].to_pylist()
+            whole, offsets = textvec.utf8(b["text"])
             rows, held = [], 0
             for k, ids in c.encode(b["text"]):
                 packed = ids.astype("<u4", copy=False).tobytes()
-                row = (keys[k], len(ids), _sha([packed]), _sha(c.decode([ids])))
+                row = (keys[k], len(ids), hashlib.sha256(packed).hexdigest(), _decoded(c, ids, whole[offsets[k] : offsets[k + 1]]))
                 rows.append((*row, packed) if with_ids else row)
                 held += len(packed) if with_ids else 100
                 if held > 1 << 22:
@@ -379,4 +574,4 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
             if rows:
                 yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task(run, holds=True), schema)

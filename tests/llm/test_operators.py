@@ -148,6 +148,33 @@ def test_bounded_tables_give_the_same(tokenizer, monkeypatch):
     assert [list(ids) for _, ids in c.encode(pa.array(texts))] == [tokenizer.encode_ordinary(x) for x in texts]
 
 
+def test_colliding_pieces_and_long_pieces_give_the_same(tokenizer, monkeypatch):
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choices("abcdeéß漢", k=r.randrange(1, 30))) for _ in range(60)) for _ in range(8)]
+    texts += ["".join(r.choices("abcdefgh", k=5000)), "x" * 3000, "ab" * 900, "=" * 500]
+    c = bpe.Codec(ranks_path())
+    c.bytes = np.zeros(256, dtype=np.uint64)  # all pieces of any length share one hash
+    assert [list(ids) for _, ids in c.encode(pa.array(texts))] == [tokenizer.encode_ordinary(x) for x in texts]
+    monkeypatch.setattr(bpe, "MAX_STATES", 30)
+    c = bpe.Codec(ranks_path())
+    assert [list(ids) for _, ids in c.encode(pa.array(texts))] == [tokenizer.encode_ordinary(x) for x in texts]
+
+
+def test_neighbours_agree_with_plain_merging():
+    r = random.Random(3)
+    t = bpe.Transducer(bpe.load_ranks(ranks_path()))
+    every = list(t.bytes_of)
+    alike = [x for x in every if len(set(t.bytes_of[x])) <= 2 and len(t.bytes_of[x]) > 1]
+    pairs = [(r.choice(every), r.choice(every)) for _ in range(8000)] + [(r.choice(alike), r.choice(alike)) for _ in range(8000)]
+    for x in r.sample(every, 8000):
+        b = t.bytes_of[x]
+        k = r.randrange(1, len(b)) if len(b) > 1 else 0
+        if b[:k] in t.ranks and b[k:] in t.ranks:
+            pairs.append((t.ranks[b[:k]], t.ranks[b[k:]]))
+    for a, b in pairs:
+        assert t._follows(a, b) == (bpe.merge_pair_by_pair(t.ranks, t.bytes_of[a] + t.bytes_of[b]) == [a, b])
+
+
 def test_utf8_machine_holds_unfinished_characters():
     data = "aé漢😀z".encode()
     for cuts in range(1 << (len(data) - 1)):
@@ -165,6 +192,23 @@ def test_utf8_machine_holds_unfinished_characters():
     assert m.feed(b"a\xff\xe6") + m.feed(b"b") + m.close() == b"a\xff\xe6b"
 
 
+def test_encoded_rows_without_id_and_repeated(spark, tokenizer):
+    rows = [(None, "a b"), (None, "a b"), (1, "a b"), (1, "a b"), (1, None), (2, "")]
+    got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), ranks_path()).collect()
+    assert sorted((str(x["doc_id"]), x["n_tokens"]) for x in got) == sorted((str(i), len(tokenizer.encode_ordinary(t or ""))) for i, t in rows)
+    assert bpe.encode_documents(frame(spark, []).limit(0), ranks_path()).count() == 0
+
+
+def test_encoding_that_loses_bytes_is_an_error():
+    c = bpe.codec(ranks_path())
+    text = np.frombuffer(b"a b", dtype=np.uint8)
+    ids = next(c.encode(pa.array(["a b"])))[1]
+    assert bpe._decoded(c, ids, text) == hashlib.sha256(b"a b").hexdigest()
+    for wrong in (ids[:-1], ids[::-1], np.append(ids, ids)):
+        with pytest.raises(ValueError):
+            bpe._decoded(c, wrong, text)
+
+
 def test_encoded_documents(spark, mixed, tokenizer):
     df = frame(spark, mixed[:30])
     got = {x["doc_id"]: x for x in bpe.encode_documents(df, ranks_path(), with_ids=True).collect()}
