@@ -13,25 +13,35 @@ share prefix tokens under every order; only then are the sets compared.
 2. Class representatives emit their prefix under the first order, packed into
    blocks by token range. Each range keeps tokens that several texts share.
    Tokens known to be frequent are split over salts.
-3. Each token links its texts to one of them, a star: pairs whose
-   number of shared prefix tokens still allows similarity are tested under the
-   other orders and verified on the whole sets. Links join into components.
+3. Each token links its texts to one of them, a star. Pairs whose number of
+   shared prefix tokens still allows similarity go on to the filters of the
+   other orders: only prefixes are sent for these, and a pair must share enough
+   of them under every order. What is left of the intersection is verified on
+   whole sets. Both tests send a star's leader once for a block of its pairs,
+   not with each. Links join into components.
 4. Texts that share a token but lie in different components are then paired,
    all but those of the token's largest component against every other one,
-   and tested in the same way. Pairs inside one component needn't be tested,
-   as they are connected already. What a text shares with the leader of a
-   group of near copies, known from step 3, excludes most others of the group:
-   unless two of them share something that the leader lacks, they can't share
-   more than either has in common with it. So each linked pair ends in one
-   component, while a group of near copies costs about a pair per member.
+   and go through the same filters and verification. Pairs inside one component
+   needn't be tested, as they are connected already. In large stars all texts
+   are measured against the leader, since what a text shares with the leader
+   of a group of near copies excludes most others of the group: unless two of
+   them share something that the leader lacks, they can't share more than
+   either has in common with it. So each linked pair ends in one component,
+   while a group of near copies costs about a pair per member.
 
 The frequency levels only steer the orders: results don't depend on them.
 They cover all texts; their list has at most ``FREQUENT`` tokens of 12 bytes.
+Tokens are 64-bit hashes; the filters send 32 bits of each, and count those
+that coincide as shared, so that they lose no pair.
 
 Defined cases: null and empty texts and texts without words have an empty set
 and no links; rows that share a doc_id are one document, and their texts are
-linked with each other; a row with a null doc_id has no links and a null
-component; an empty table gives an empty result; other columns are ignored.
+linked with each other (of such rows ``near_deduplicated`` keeps the one whose
+JSON has the smallest SHA-256); a row with a null doc_id has no links and a
+null component; texts of any length are read whole, block by block, a single
+set being the most that is held of one; repeated rows give a row each; equal
+sizes and frequencies are ordered by token and doc_id; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +55,9 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
-from .storage import only, without, written
+from .storage import first_of_each, only, without, written
 from .textvec import BLANK, Words, mix, shingle_sets
+from .workers import task
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -58,6 +69,8 @@ MAX_SALTS = 256
 LARGE_STAR = 32  # texts that may be linked with one leader
 FLUSH = 1 << 20  # postings held by a task before they are packed
 COUNTED = 1 << 21  # tokens counted at once
+LEAST_PARTS = 64  # blocks that the pairs of one star are dealt to, at least
+CLASSES = 1_000_000  # classes of equal sets that are broadcast, at most, being the largest
 
 _POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4")])
 _SEEDS = mix(np.arange(9001, 9001 + 16, dtype=np.uint64))
@@ -207,42 +220,95 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(x["token"].astype("<u8").view(np.int64)), pa.array(x["doc"].copy()), pa.array(x["n"].astype(np.int64))], names=["token", "doc", "n"])
 
 
-def _sets(k: int):
+def _sets(shared, k: int):
+    """Sets of texts, and their prefixes under all orders but the first: (size, lengths, 32 bits of each token)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = Orders(*shared.value)
+
+        def filters(s: np.ndarray) -> bytes:
+            parts = [np.unique((orders.prefix(s, j) >> np.uint64(32)).astype("<u4")) for j in range(1, ORDERS)]
+            return np.concatenate([np.array([len(s), *map(len, parts)], dtype="<u4"), *parts]).tobytes()
+
         for b in batches:
             ids = b["doc_id"]
             for i, j, buf, offsets in textvec.blocks(b["text"]):
                 sets = shingle_sets(Words(buf, offsets, BLANK), k)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(map(filters, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "filters", "tokens"])
 
     return run
 
 
+def _prefixes(data: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    ends = np.cumsum([ORDERS, *data[1:ORDERS]])
+    return int(data[0]), [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def passes(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two texts share enough prefix tokens under each order to be similar.
+
+    Of the tokens shared outside both prefixes, all lie behind the prefix that ends first."""
+    (nx, px), (ny, py) = _prefixes(x), _prefixes(y)
+    rest = max(needed(nx), needed(ny)) - 1
+    least = -(-NUMERATOR * (nx + ny) // (NUMERATOR + DENOMINATOR)) - rest
+    # Tokens of one text with the same 32 bits count once there.
+    return all(len(np.intersect1d(a, b, assume_unique=True)) + prefix_size(nx) - len(a) >= max(1, least) for a, b in zip(px, py, strict=True))
+
+
+def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block begin with its leader (a null y)."""
+    leader = None
+    for b in batches:
+        keep = []
+        for y, data in zip(b["y"].to_pylist(), b["data"], strict=True):
+            data = np.frombuffer(data.as_buffer(), "<u4")
+            if y is None:
+                leader = data.copy()
+            keep.append(y is not None and passes(leader, data))
+        yield pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(*shared.value)
+        orders, x = Orders(*shared.value), None
         for b in batches:
-            keep, overlap, inside = [], [], []
-            for x, y in zip(b["x_tokens"], b["y_tokens"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok = all(len(np.intersect1d(orders.prefix(x, j), orders.prefix(y, j), assume_unique=True)) for j in range(1, ORDERS))
+            pair, linked, overlap, inside = [], [], [], []
+            for member, y in zip(b["y"].to_pylist(), b["data"], strict=True):
+                y = np.frombuffer(y.as_buffer(), np.uint64)
+                pair.append(member is not None)
+                if member is None:
+                    x = y.copy()
+                    continue
                 both = np.intersect1d(x, y, assume_unique=True)
-                keep.append(ok and similar(len(x), len(y), len(both)))
+                linked.append(similar(len(x), len(y), len(both)))
                 overlap.append(len(both))
                 prefix = orders.prefix(y, 0)
                 inside.append(len(y) - len(both) == len(prefix) - len(np.intersect1d(prefix, both, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([b["x"], b["y"], pa.array(keep, pa.bool_()), pa.array(overlap, pa.int64()), pa.array(inside, pa.bool_())], names=["x", "y", "linked", "overlap", "inside"])
+            ids = pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(pair, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(linked, pa.bool_()), pa.array(overlap, pa.int64()), pa.array(inside, pa.bool_())], names=["x", "y", "linked", "overlap", "inside"])
 
     return run
 
 
+def _blocks(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs x, y with data of y, in blocks of one x each, led by a row with the data of x (y is null there)."""
+    parts = max(LEAST_PARTS, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.select("x", F.pmod(F.xxhash64("y"), F.lit(parts)).alias("part"), "y")
+    data = sets.select("doc", F.col(column).alias("data"))
+    members = pairs.join(data.withColumnRenamed("doc", "y"), "y").select("x", "part", "y", "data")
+    leaders = pairs.select("x", "part").distinct().join(data.withColumnRenamed("doc", "x"), "x").select("x", "part", F.lit(None).cast("long").alias("y"), "data")
+    rows = leaders.unionByName(members).repartition("x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
+    return rows.select("x", "y", "data")
+
+
 def _tested(pairs: DataFrame, docs: DataFrame, shared, k: int) -> DataFrame:
-    """Pairs x, y (already written) with whether they are linked, how many tokens they share, and whether all of y's
-    others lie in its first prefix. Only the sets of these texts are made and sent."""
+    """Pairs x, y (already written) that pass the filters of all orders, or are to be ``measured`` in any case, with whether
+    they are linked, how many tokens they share, and whether all of y's others lie in its first prefix."""
     wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ngram-wanted")
-    sets = written(only(docs, wanted, "doc_id").mapInArrow(_sets(k), "doc long, tokens binary"), "ngram-sets")
-    full = pairs.join(sets.select(F.col("doc").alias("x"), F.col("tokens").alias("x_tokens")), "x").join(sets.select(F.col("doc").alias("y"), F.col("tokens").alias("y_tokens")), "y")
-    return written(full.select("x", "y", "x_tokens", "y_tokens").mapInArrow(_verify(shared), "x long, y long, linked boolean, overlap long, inside boolean"), "ngram-tested")
+    sets = written(only(docs, wanted, "doc_id").mapInArrow(task(_sets(shared, k)), "doc long, filters binary, tokens binary"), "ngram-sets")
+    passed = _blocks(pairs.where("NOT measured"), sets, "filters").mapInArrow(task(_filter), "x long, y long")
+    passed = written(passed.unionByName(pairs.where("measured").select("x", "y")), "ngram-passed")
+    return written(_blocks(passed, sets, "tokens").mapInArrow(task(_verify(shared)), "x long, y long, linked boolean, overlap long, inside boolean"), "ngram-tested")
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -261,14 +327,19 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = written(base.mapInArrow(_profile(k), "kind tinyint, doc_id long, n long, hi long, lo long"), "ngram-profile")
+    profile = written(base.mapInArrow(task(_profile(k)), "kind tinyint, doc_id long, n long, hi long, lo long"), "ngram-profile")
     rows = profile.where("kind = 0").drop("kind")
     often = profile.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENCY).orderBy(F.desc("n"), "hi").limit(FREQUENT).toArrow()
     shared = spark.sparkContext.broadcast((often["hi"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64)))
 
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-    copies = written(filled.join(classes, ["n", "hi", "lo"]).where("doc_id != rep").select("doc_id", "rep").distinct(), "ngram-copies")
+    key = ["n", "hi", "lo"]
+    classes = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("members")).where("rep < last").drop("last")
+    classes = written(classes, "ngram-classes")
+    # No more than CLASSES can be so large; those are broadcast, so that the rows of one don't meet in a task.
+    large = F.col("members") >= max(1000, rows.count() // CLASSES + 1)
+    told = filled.join(F.broadcast(classes.where(large)), key).unionByName(filled.join(classes.where(~large), key))
+    copies = written(told.where("doc_id != rep").select("doc_id", "rep").distinct(), "ngram-copies")
     # A doc_id whose rows have several texts stays in play if one of them has no class before it.
     idle = copies.select("doc_id").distinct()
     several = written(filled.select("doc_id", "n", "hi", "lo").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-several")
@@ -276,8 +347,8 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     active = without(base.where(F.col("doc_id").isNotNull()), idle, "doc_id")
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = active.mapInArrow(_postings(shared, ranges, k), "range int, salt int, block binary")
-    postings = written(blocks.repartition(ranges, "range", "salt").mapInArrow(_shared_tokens, "token long, doc long, n long"), "ngram-postings")
+    blocks = active.mapInArrow(task(_postings(shared, ranges, k)), "range int, salt int, block binary")
+    postings = written(blocks.repartition(ranges, "range", "salt").mapInArrow(task(_shared_tokens), "token long, doc long, n long"), "ngram-postings")
 
     # A token's leader is the text whose tokens the most texts share: of near copies the one they come from.
     shares = postings.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
@@ -288,11 +359,13 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     stars = led.where((F.col("doc") != F.col("leader")) & _sizes_fit("nx", "n")).groupBy(F.col("leader").alias("x"), F.col("doc").alias("y"), "nx", F.col("n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
     stars = written(stars, "ngram-stars")
     # A pair may share more tokens under other leaders; what is left out here comes up again below unless it is connected
-    # by then. In large stars all are tested, as what a text shares with the leader spares it most of the others.
+    # by then. In large stars all are measured, as what a text shares with the leader spares it most of the others.
     near = stars.where(_enough_shared(F.col("c")))
     large = near.groupBy("x").count().where(F.col("count") >= LARGE_STAR).select("x")
     far = stars.where(~_enough_shared(F.col("c"))).join(large, "x", "left_semi")
-    tested = _tested(written(near.unionByName(far).select("x", "y"), "ngram-star-pairs"), active, shared, k)
+    to_test = near.join(large.withColumn("measured", F.lit(True)), "x", "left").unionByName(far.withColumn("measured", F.lit(True)))
+    star_pairs = written(to_test.select("x", "y", F.coalesce("measured", F.lit(False)).alias("measured")), "ngram-star-pairs")
+    tested = _tested(star_pairs, active, shared, k)
     links = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(links)
 
@@ -318,8 +391,8 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
         rest = F.when(outside, F.least("mx", "my")).otherwise(F.lit(0)).alias("rest")  # at most so many rows of the pair were left out
         crossed = crossed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny"), rest)
         crossed = crossed.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"), F.max("rest").alias("rest"))
-        done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        more = _tested(written(crossed.where(_enough_shared(F.col("c") + F.col("rest"))).select("x", "y").join(done, ["x", "y"], "left_anti"), "ngram-crossed"), active, shared, k)
+        done = star_pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        more = _tested(written(crossed.where(_enough_shared(F.col("c") + F.col("rest"))).select("x", "y").join(done, ["x", "y"], "left_anti").withColumn("measured", F.lit(False)), "ngram-crossed"), active, shared, k)
         links = links.unionByName(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
     links = links.unionByName(copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     labels = components(links)
@@ -334,11 +407,10 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 def near_deduplicated(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """One row of each component, that of the smallest doc_id, with all columns. Rows without a doc_id stay."""
-    names = docs.columns
     found = written(ngram_join(docs, k).where("doc_id IS NOT NULL"), "ngram-found")
     drop = written(found.where("component_id != doc_id").select("doc_id").distinct(), "ngram-drop")
     again = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-again")
     out = without(docs, drop, "doc_id")
     if not again.isEmpty():
-        out = without(out, again, "doc_id").unionByName(only(out, again, "doc_id").dropDuplicates(["doc_id"]))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+        out = without(out, again, "doc_id").unionByName(first_of_each(only(out, again, "doc_id"), ["doc_id"]))
+    return out

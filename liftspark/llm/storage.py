@@ -38,18 +38,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, drop: DataFrame, key: str) -> DataFrame:
-    """Rows of docs whose key isn't in drop (of one column, already written). Rows without a key stay."""
-    if drop.count() <= BROADCAST_ROWS:
-        drop = F.broadcast(drop)
-    return docs.join(drop, key, "left_anti")
-
-
-def only(docs: DataFrame, keep: DataFrame, key: str) -> DataFrame:
-    """Rows of docs whose key is in keep (of one column, already written)."""
-    if keep.count() <= BROADCAST_ROWS:
-        keep = F.broadcast(keep)
-    return docs.join(keep, key, "left_semi")
+def _in(docs: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    names, on = docs.columns, [on] if isinstance(on, str) else on
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    keys = keys.toDF(*(f"{c}_of_keys_" for c in keys.columns))
+    same = [docs[f"`{c}`"].eqNullSafe(keys[f"{c}_of_keys_"]) if len(on) > 1 else docs[f"`{c}`"] == keys[f"{c}_of_keys_"] for c in on]
+    return docs.join(keys, same, how).select(*[F.col(f"`{c}`") for c in names])
+
+
+def without(docs: DataFrame, drop: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows of docs whose key isn't in drop (of the key's columns, already written). Rows with a null as their one key stay."""
+    return _in(docs, drop, on, "left_anti")
+
+
+def only(docs: DataFrame, keep: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows of docs whose key is in keep (of the key's columns, already written). Among several, null equals null."""
+    return _in(docs, keep, on, "left_semi")
+
+
+def first_of_each(docs: DataFrame, on: list[str]) -> DataFrame:
+    """Of rows with one key, that whose columns, as JSON, have the smallest SHA-256: the same one whatever the order of rows.
+    Minima are pre-aggregated, so a key may have any number of rows."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    best = docs.groupBy(*on).agg(F.min_by(row, F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)).alias("first_of_key_"))
+    return best.select(*[F.col("first_of_key_").getField(c).alias(c) for c in docs.columns])
 
 
 def _local(uri: str) -> str | None:

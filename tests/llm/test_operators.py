@@ -237,6 +237,78 @@ def test_ngram_join(spark, mixed):
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
 
 
+def test_ngram_join_on_many_random_tables(spark, monkeypatch):
+    """Chains, stars and near copies around the bound, many small tables in one: each seed has words of its own."""
+    monkeypatch.setattr(ngram_join, "LARGE_STAR", 4)
+    for round_ in range(3):
+        texts, want = {}, {}
+        for seed in range(24):
+            r = random.Random(1000 * round_ + seed)
+            own, pool = [], [[f"s{seed}w{r.randrange(10**4)}" for _ in range(r.choice((6, 12, 30, 80)))] for _ in range(r.choice((1, 2, 4)))]
+            for _ in range(r.choice((5, 12, 25))):
+                w = list(r.choice(pool))
+                for _ in range(r.choice((0, 1, 1, 2, 4))):
+                    k = r.randrange(len(w))
+                    w[k : k + r.choice((0, 1, 2))] = r.choice(([], [f"s{seed}e{r.randrange(5)}"], [f"s{seed}n{r.randrange(10**6)}"]))
+                    w = w or ["none"]
+                if r.random() < 0.3:
+                    pool.append(w)
+                own.append(" ".join(w))
+            ids = r.sample(range(10_000 * seed, 10_000 * seed + 9_999), len(own))
+            texts |= dict(zip(ids, own, strict=True))
+        _, want = brute.jaccard_components(list(texts.items()))
+        assert 50 < len(set(want.values())) < len(want) - 50
+        assert {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_join(frame(spark, texts)).collect()} == want
+
+
+def test_filters_pass_every_similar_pair():
+    levels = (textvec.mix(np.arange(40, dtype=np.uint64)), np.arange(8, 48))
+
+    r = np.random.default_rng(5)
+    stopped = 0
+    for n in (1, 2, 5, 9, 40, 200):
+        for _ in range(120):
+            pool = textvec.mix(np.arange(300 if n > 40 else 60, dtype=np.uint64))
+            x = np.sort(r.choice(pool, n, replace=False))
+            kept = r.choice(x, r.integers(0, n + 1), replace=False) if r.random() < 0.3 else r.choice(x, n - min(n, r.integers(0, 1 + n // 4)), replace=False)
+            y = np.unique(np.concatenate([kept, r.choice(pool, r.integers(0, 1 + n // 5), replace=False)]))
+            if not len(y):
+                continue
+            rows = []
+            for s in (x, y):
+                orders = ngram_join.Orders(*levels)
+                parts = [np.unique((orders.prefix(s, j) >> np.uint64(32)).astype("<u4")) for j in range(1, ngram_join.ORDERS)]
+                rows.append(np.concatenate([np.array([len(s), *map(len, parts)], dtype="<u4"), *parts]))
+            ok = ngram_join.passes(*rows) and ngram_join.passes(*rows[::-1])
+            assert ok or not ngram_join.similar(len(x), len(y), len(np.intersect1d(x, y)))
+            stopped += not ok
+    assert stopped > 30
+
+
+def test_ngram_join_of_very_long_texts(spark):
+    r = random.Random(31)
+    base = [f"v{r.randrange(10**5)}" for _ in range(300_000)]
+    near, far = list(base), list(base)
+    for i in r.sample(range(len(base)), 3000):
+        near[i] = "other"
+    for i in r.sample(range(len(base)), 30_000):
+        far[i] = "other"
+    texts = {5: " ".join(base), 3: " ".join(near), 9: " ".join(far), 1: "x" * (textvec.BLOCK + 7), 2: "X" * (textvec.BLOCK + 7)}
+    assert len(texts[5]) > textvec.BLOCK
+    sizes, want = brute.jaccard_components(list(texts.items()))
+    got = ngram_join.ngram_join(frame(spark, texts)).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == {d: (sizes[d], want[d]) for d in texts} and want[5] == 3 and want[9] == 9 and want[2] == 1
+
+
+def test_rows_of_one_doc_id_are_chosen_by_their_content(spark):
+    rows = [(4, "a b c d e f", "p"), (4, "a b c d e f", "q"), (4, "u v w x y z", "p"), (5, "other words that stand alone here", None), (None, "a", "r")]
+    kept = set()
+    for k in range(4):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, `odd.name` string").repartition(3)
+        kept.add(frozenset(map(tuple, ngram_join.near_deduplicated(df).collect())))
+    assert len(kept) == 1 and sorted(str(x[0]) for x in next(iter(kept))) == ["4", "5", "None"]
+
+
 def test_salted_tokens_give_the_same(spark, mixed, monkeypatch):
     monkeypatch.setattr(ngram_join, "SALT_EVERY", 2)
     monkeypatch.setattr(ngram_join, "LEAST_FREQUENCY", 2)
