@@ -14,7 +14,8 @@ The scan tests each hash against a bit table of fixed size, then against the
 sorted seeds while these number at most ``BROADCAST_SEEDS`` (8 bytes each),
 and hands on segments of the text around what may be a hit; joins decide.
 Only those segments are shuffled, keyed by row, so a passage that a third of
-all texts hold makes one small row each.
+all texts hold makes one small row each. Stretches of a row and an item on one
+diagonal count as one, however far apart they are.
 
 The masks of a window's length are such that one of them hits wherever the
 tolerated substitutions fall (two in 13 words), so that every window that
@@ -29,7 +30,9 @@ a text if ordinary texts hold it too: ``contaminated`` tells all matches, but
 
 Defined cases: null and empty texts are clean; a null item text has no words;
 repeated rows and items count each, rows with a null doc_id are judged as all
-others; empty tables give empty results; other columns are ignored.
+others; of stretches that match equally many words the first counts; texts of
+any length are read whole, block by block; empty tables give empty results;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ from pyspark.sql import functions as F
 from . import textvec
 from .storage import without, written
 from .textvec import ALNUM, Words, mix
+from .workers import task
 
 WINDOW = 13
 AGREE = 0.8
@@ -62,6 +66,7 @@ RARE_TEXTS = 2
 CONTEXT = 96  # words kept on either side of a hit
 BITS = 22
 BROADCAST_SEEDS = 1_000_000
+BROADCAST_BYTES = 64_000_000  # of items' words
 
 _KEYS = mix(np.arange(7001, 7065, dtype=np.uint64)) | np.uint64(1)
 
@@ -128,10 +133,11 @@ def _segments(shared, masks: list[str], context: int):
         from pyspark import TaskContext
 
         table, known = shared.value
-        segment = TaskContext.get().partitionId() << 40
-        names = ["segment", "doc_id", "mark", "begin", "n_words", "words", "at", "hash"]
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        segment = row = TaskContext.get().partitionId() << 40
+        names = ["segment", "row", "doc_id", "mark", "begin", "n_words", "words", "at", "hash"]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for b in batches:
+            row, done = row + b.num_rows, row
             keys, marks = b["doc_id"].to_pylist(), b["mark"].to_pylist()
             for i, _, buf, offsets in textvec.blocks(b["text"]):
                 w = Words(buf, offsets, ALNUM)
@@ -156,7 +162,7 @@ def _segments(shared, masks: list[str], context: int):
                 for x, y in zip(np.append(0, cut).tolist(), np.append(cut, len(at)).tolist(), strict=True):
                     d = int(doc[x])
                     lo, hi = max(int(w.first[d]), int(at[x]) - context), min(int(w.first[d + 1]), int(at[y - 1]) + context)
-                    rows.append((segment, keys[i + d], marks[i + d], lo - int(w.first[d]), int(w.first[d + 1] - w.first[d]), w.hash[lo:hi].tobytes(), (at[x:y] - lo).tolist(), hs[x:y].view(np.int64).tolist()))
+                    rows.append((segment, done + i + d, keys[i + d], marks[i + d], lo - int(w.first[d]), int(w.first[d + 1] - w.first[d]), w.hash[lo:hi].tobytes(), (at[x:y] - lo).tolist(), hs[x:y].view(np.int64).tolist()))
                     segment += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -181,22 +187,24 @@ def agreement(text: np.ndarray, item: np.ndarray, diagonal: int, window: int, ag
 
 
 def _verify(window: int, agree: float):
+    names = ["row", "doc_id", "mark", "item", "item_id", "size", "line", "n_matched", "first_word", "end_word"]
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, mark, number, item_id, begin, size, words, item, diagonal in zip(*(b[c].to_pylist() for c in ("doc_id", "mark", "item", "item_id", "begin", "size", "words", "item_words", "diagonal")), strict=True):
+            for row, doc, mark, number, item_id, begin, size, words, item, diagonal in zip(*(b[c].to_pylist() for c in ("row", "doc_id", "mark", "item", "item_id", "begin", "size", "words", "item_words", "diagonal")), strict=True):
                 got = agreement(np.frombuffer(words, np.uint64), np.frombuffer(item, np.uint64), diagonal, window, agree)
                 if got:
-                    rows.append((doc, mark, number, item_id, got[0], begin + got[1], begin + got[2], got[0] / size))
-            types = (*[pa.int64()] * 7, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=["doc_id", "mark", "item", "item_id", "n_matched", "first_word", "end_word", "share"])
+                    rows.append((row, doc, mark, number, item_id, size, begin + diagonal, got[0], begin + got[1], begin + got[2]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)], names=names)
 
     return run
 
 
 def stretches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
-    """doc_id, mark, item (its row's number), item_id, n_matched, first_word, end_word, share: the stretch on each diagonal of a contaminated row."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_seeds(window, agree), "item long, item_id long, size int, item_words binary, place array<int>, hash array<long>")
+    """row, doc_id, mark, item (both numbered), item_id, n_matched, first_word, end_word, share: what matches on each diagonal of a contaminated row."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(task(_item_seeds(window, agree)), "item long, item_id long, size int, item_words binary, place array<int>, hash array<long>")
     items = written(items, "benchmark-items")
     sizes = [r["n"] for r in items.select(F.least("size", F.lit(max(window, SHORTEST))).alias("n")).distinct().collect()]
     masks = sorted({m for n in sizes for m in _masks_of(n, window, agree)})
@@ -204,19 +212,25 @@ def stretches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WI
     small = places.count() <= BROADCAST_SEEDS
     known = np.sort(places.select("hash").distinct().toPandas()["hash"].to_numpy().astype(np.int64).view(np.uint64)) if small else None
     shared = docs.sparkSession.sparkContext.broadcast((_bit_table(items), known))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (mark if mark is not None else F.lit(0).cast("long")).alias("mark"))
-    found = base.mapInArrow(_segments(shared, masks, CONTEXT), "segment long, doc_id long, mark long, begin long, n_words long, words binary, at array<long>, hash array<long>")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (mark if mark is not None else F.lit(None).cast("binary")).alias("mark"))
+    found = base.mapInArrow(task(_segments(shared, masks, CONTEXT)), "segment long, row long, doc_id long, mark binary, begin long, n_words long, words binary, at array<long>, hash array<long>")
     found = written(found, "decontamination-segments")
     if small:
         places = F.broadcast(places)
     hits = found.select("segment", F.explode(F.arrays_zip("at", "hash")).alias("s")).select("segment", F.col("s.at").alias("at"), F.col("s.hash").alias("hash"))
     pairs = hits.join(places, "hash").select("segment", "item", (F.col("at") - F.col("place")).cast("int").alias("diagonal")).distinct()
-    full = pairs.join(found.drop("at", "hash"), "segment").join(items.select("item", "item_id", "size", "item_words"), "item")
-    return full.select("doc_id", "mark", "item", "item_id", "begin", "size", "words", "item_words", "diagonal").mapInArrow(_verify(window, agree), "doc_id long, mark long, item long, item_id long, n_matched long, first_word long, end_word long, share double")
+    words = items.select("item", "item_id", "size", "item_words")
+    # A hot item needn't meet in one task where all items fit a broadcast; else AQE splits it.
+    if small and (items.agg(F.sum(F.octet_length("item_words"))).first()[0] or 0) <= BROADCAST_BYTES:
+        words = F.broadcast(words)
+    full = pairs.join(found.drop("at", "hash"), "segment").join(words, "item")
+    checked = full.select("row", "doc_id", "mark", "item", "item_id", "begin", "size", "words", "item_words", "diagonal").mapInArrow(task(_verify(window, agree)), "row long, doc_id long, mark binary, item long, item_id long, size long, line long, n_matched long, first_word long, end_word long")
+    by_line = checked.groupBy("row", "doc_id", "mark", "item", "item_id", "size", "line").agg(F.sum("n_matched").alias("n_matched"), F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"))
+    return by_line.withColumn("share", F.col("n_matched") / F.col("size")).drop("size", "line")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
-    """doc_id, mark, item_id, n_matched, first_word, end_word, share: the best stretch of each contaminated (row, item)."""
+    """doc_id, mark, item_id, n_matched, first_word, end_word, share: the best stretch of each contaminated (row, item); items of one id are one."""
     best = F.max(F.struct("n_matched", (-F.col("first_word")).alias("before"), "end_word", "share")).alias("b")
     return stretches(docs, benchmark, mark, window, agree).groupBy("doc_id", "mark", "item_id").agg(best).select("doc_id", "mark", "item_id", "b.n_matched", (-F.col("b.before")).alias("first_word"), "b.end_word", "b.share")
 
@@ -236,11 +250,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The clean rows of docs, with all their columns. Rows are told apart by a hash of their text."""
+    """The clean rows of docs, with all their columns. A text is known by its whole SHA-256."""
     names, tag = docs.columns, "mark"
     while tag in names:
         tag += "_"
-    key = F.xxhash64(F.col("text"), F.lit("decontamination"))
+    key = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     found = written(stretches(docs, benchmark, mark=key).select("mark", "item", ((F.col("n_matched") < SHORTEST) & (F.col("share") == 1)).alias("short")).distinct(), "decontamination-found")
     common = found.where("short").groupBy("item").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > max(RARE_TEXTS, RARE * docs.count()))
     drop = written(found.join(common, "item", "left_anti").select(F.col("mark").alias(tag)).distinct(), "decontamination-drop")

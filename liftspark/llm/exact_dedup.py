@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import only, without, written
+from .storage import first_of_each, only, without, written
+from .workers import task
 
 FAN_IN = 8
 
@@ -90,7 +91,7 @@ def _merge(keep: str):
 
 def _round(runs: DataFrame, slot: Column, keep: str, parts: int) -> DataFrame:
     sent = runs.withColumn("slot", slot.cast("int")).select(*[x.split()[0] for x in _RUN.split(", ")])
-    return sent.repartition(parts, "slot").sortWithinPartitions("slot", "sha", "size", "check").mapInArrow(_merge(keep), _RUN)
+    return sent.repartition(parts, "slot").sortWithinPartitions("slot", "sha", "size", "check").mapInArrow(task(_merge(keep)), _RUN)
 
 
 def decisions(docs: DataFrame, keep: str = "max", fan_in: int = FAN_IN) -> DataFrame:
@@ -124,20 +125,19 @@ def exact_dedup(docs: DataFrame, keep: str = "max") -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. Rows are known by doc_id and the whole digest; of rows that
+    repeat both, that whose JSON has the smallest SHA-256 stays."""
     d = written(decisions(docs, keep), "dedup-decisions")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # A row's pair (doc_id, digest) as one number; only pairs that were decided meet it.
-    pair = F.xxhash64(F.col("doc_id").cast("long"), F.col("sha"))
     names = docs.columns
-    tag, sha = "pair", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    while tag in names:
-        tag += "_"
-    tagged = docs.withColumn(tag, F.xxhash64(F.col("doc_id").cast("long"), sha))
-    drop = written(d.where(~stays).select(pair.alias(tag)), "dedup-drop")
-    out = without(tagged, drop, tag)
-    again = written(d.where(stays & (F.col("n_rows") > 1)).select(pair.alias(tag)), "dedup-again")
-    if not again.isEmpty():  # rows repeated with their doc_id: one of each is taken
-        repeated = only(out, again, tag).dropDuplicates([tag])
-        out = without(out, again, tag).unionByName(repeated)
+    sha, number = "sha", "number"
+    while sha in names or number in names:
+        sha, number = sha + "_", number + "_"
+    tagged = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    key = [number, sha]
+    drop = written(d.where(~stays).select(F.col("doc_id").alias(number), F.col("sha").alias(sha)), "dedup-drop")
+    out = without(tagged, drop, key)
+    again = written(d.where(stays & (F.col("n_rows") > 1)).select(F.col("doc_id").alias(number), F.col("sha").alias(sha)), "dedup-again")
+    if not again.isEmpty():
+        out = without(out, again, key).unionByName(first_of_each(only(out, again, key), key))
     return out.select(*[F.col(f"`{c}`") for c in names])

@@ -14,14 +14,16 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A list of ids is broadcast up to this many rows of 8 bytes, and joined by a shuffle beyond.
-BROADCAST_ROWS = 2_000_000
+#: A list of keys (8 to 48 bytes each) is broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set only where there is none, as in local tests."""
+    """The session's checkpoint folder; a temporary one is set only where there is none and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or (d.get() if (d := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined() else None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
