@@ -22,7 +22,8 @@ texts are far from any centroid; or if it has no letter.
 Defined cases: a null, empty or letterless text gives ``und`` with score 0,
 and is rejected; with nothing to learn from all texts do; equal cosines go to
 the language that sorts first; a null doc_id is neither learned from nor held
-out; repeated rows give a row each; other columns are ignored.
+out; repeated rows give a row each; texts of any length are read whole, block
+by block; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from pyspark.sql import types as T
 
 from . import textvec
 from .textvec import BLOCK
+from .workers import task
 
 BUCKETS = 8192
 SAMPLE = 2000
@@ -161,14 +163,14 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model | Non
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id"))
     labels = F.broadcast(docs.sparkSession.createDataFrame(sizes, "lang string, n long"))
     picked = lettered.join(labels, "lang").withColumn("chance", chance).where(F.col("chance") < share).withColumn("rank", rank).where(F.col("rank") <= each)
-    got = picked.select("doc_id", "text", "lang").mapInArrow(_sparse, "doc_id long, lang string, size long, letter boolean, places binary, n binary").where("letter").toPandas().sort_values(["lang", "doc_id", "size"])
+    got = picked.select("doc_id", "text", "lang").mapInArrow(task(_sparse), "doc_id long, lang string, size long, letter boolean, places binary, n binary").where("letter").toPandas().sort_values(["lang", "doc_id", "size"])
     if not len(got):
         return None
     x = np.zeros((len(got), BUCKETS), dtype=np.float32)
     for i, (p, n) in enumerate(zip(got["places"], got["n"], strict=True)):
         x[i, np.frombuffer(p, "<u2")] = np.frombuffer(n, "<u4")
     texts = np.zeros(BUCKETS + 1, dtype=np.int64)
-    for r in rows.select("text").mapInArrow(_frequencies, "texts array<long>").select(F.posexplode("texts").alias("bucket", "n")).where("n > 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(task(_frequencies), "texts array<long>").select(F.posexplode("texts").alias("bucket", "n")).where("n > 0").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         texts[r["bucket"]] = r["n"]
     idf = (np.log((1 + texts[-1]) / (1 + texts[:-1])) + 1).astype(np.float32)
     model = Model(sorted(set(got["lang"])), idf, np.empty(0), np.empty(0), 0.0)
@@ -207,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     rejected = ~letter | (score < m.least * np.sqrt(np.minimum(1, size / FULL)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*part.schema.names, *names.values()])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task(run), schema)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
-from .storage import first_of_each, only, without, written
+from .storage import first_of_each, only, scratch, without, written
 from .textvec import BLANK, Words, mix, shingle_sets
 from .workers import task
 
@@ -323,15 +323,9 @@ def _enough_shared(c: Column) -> Column:
     return c + rest >= F.expr(f"({NUMERATOR} * (nx + ny) + {both} - 1) div {both}")
 
 
-def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = written(base.mapInArrow(task(_profile(k)), "kind tinyint, doc_id long, n long, hi long, lo long"), "ngram-profile")
-    rows = profile.where("kind = 0").drop("kind")
-    often = profile.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENCY).orderBy(F.desc("n"), "hi").limit(FREQUENT).toArrow()
-    shared = spark.sparkContext.broadcast((often["hi"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64)))
-
+def _ends(base: DataFrame, rows: DataFrame, shared, k: int) -> DataFrame:
+    """doc_id, component_id of documents that have a link or a copy; rows has their sizes and digests."""
+    spark = base.sparkSession
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
     key = ["n", "hi", "lo"]
     classes = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("members")).where("rep < last").drop("last")
@@ -401,7 +395,20 @@ def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     near = copies.join(several, "doc_id", "left_anti").withColumnRenamed("rep", "node")
     far = near.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component_id"))
     own = labels.select(F.col("node").alias("doc_id"), F.col("label").alias("component_id"))
-    ends = written(far.unionByName(own), "ngram-components")
+    return written(far.unionByName(own), "ngram-components", lasting=True)
+
+
+def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    spark = docs.sparkSession
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profile = written(base.mapInArrow(task(_profile(k)), "kind tinyint, doc_id long, n long, hi long, lo long"), "ngram-profile")
+    rows = profile.where("kind = 0").drop("kind")
+    often = profile.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENCY).orderBy(F.desc("n"), "hi").limit(FREQUENT).toArrow()
+    shared = spark.sparkContext.broadcast((often["hi"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64)))
+
+    with scratch(spark):
+        ends = _ends(base, rows, shared, k)
     return rows.join(ends, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_scratch: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written meanwhile are deleted at the end, but for ``lasting`` ones, which go with the scratch around this one if there is any.
+    Nothing that is read later may depend on them: what outlives them is written itself."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if len(_scratch) > lasting:
+        _scratch[-1 - lasting].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it again: each later read starts from these files."""
-    path = fresh(df.sparkSession, name)
+    path = fresh(df.sparkSession, name, lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
