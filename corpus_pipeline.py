@@ -4,7 +4,15 @@ Language ID drops texts whose language isn't recognised; exact dedup keeps
 the row with the largest doc_id of equal texts; the n-gram Jaccard join keeps
 the smallest doc_id of each group of near-duplicates; decontamination drops
 texts that hold passages of the benchmark; the last stage encodes what is
-left and proves that decoding gives the same bytes.
+left, decodes the tokens again, and raises if a byte differs.
+
+Defined cases, stage by stage: a null, empty or letterless text has no
+recognised language and goes; equal texts of one doc_id are one row, chosen by
+the content of its other columns, as are near copies of one doc_id; rows with a
+null doc_id lose to others with the same text, and have no near copies; ties in
+size or share don't matter, since doc_ids decide; texts of any length are read
+whole; an empty table gives an empty result; columns beyond those of documents
+are kept up to the last stage.
 
 Its rows can't be stated in SQL (stages 1, 3, 4 and 5), so ORACLE_SQL is None
 and tests hold them against a plain version.
@@ -20,7 +28,7 @@ from liftspark.llm.exact_dedup import deduplicated
 from liftspark.llm.language_id import accepted
 from liftspark.llm.ngram_join import near_deduplicated
 from liftspark.llm.queries import ranks_path
-from liftspark.llm.storage import written
+from liftspark.llm.storage import fresh, removed, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. What a stage has written goes once the next one's rows are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: str | None = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            after = fresh(spark, name, lasting=True)
+            stage(spark, docs, sf_dir).write.parquet(after)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(after), after
     return STAGES[-1][1](spark, docs, sf_dir)
