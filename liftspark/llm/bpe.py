@@ -9,8 +9,8 @@ byte advances every place; where a trie node is a token that may follow the
 last one (the two, encoded together, stay two), the place behind it becomes a
 new beginning, and there is exactly one for each prefix. What all live
 beginnings have in common is emitted, so the output lags by at most the
-longest token. States and transitions are made when first met, kept in
-tables of bounded size, and dropped when those are full.
+longest token. States and transitions are made when first met and kept in
+tables of bounded size; the later half go when those are full.
 
 A piece that is itself in the rank file is that token, as in the usual
 encoder. Results of pieces are kept in a direct-mapped table of fixed size
@@ -42,18 +42,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .textvec import BLOCK, mix
+from .storage import small_batches
+from .textvec import mix
 from .workers import hold, task
 
-MAX_STATES = 400_000
-MAX_PAIRS = 200_000
-SLOTS_BITS = 20
-MAX_POOL = 1 << 22  # token ids kept for pieces, 4 bytes each
+BLOCK = 1 << 18  # bytes worked on at once
+MAX_STATES = 240_000
+MAX_PAIRS = 50_000
+SLOTS_BITS = 19
+MAX_POOL = 1 << 20  # token ids kept for pieces, 4 bytes each
 CHUNK = 1 << 16  # tokens decoded at once
 
 LOCKSTEP = 64  # bytes; longer pieces are encoded one by one
 
 _U = np.uint64
+_SPREAD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
@@ -74,6 +77,106 @@ def merge_pair_by_pair(ranks: dict[bytes, int], piece: bytes, below: int = 1 <<
     return [ranks[p] for p in parts]
 
 
+class Table:
+    """Numbers by 64-bit keys other than 0: open addressing in two arrays, half full at most."""
+
+    def __init__(self, size: int = 1 << 14):
+        self.keys, self.values, self.n = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _U(_SPREAD) >> _U(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def many(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of these keys, -1 where there is none."""
+        slot, last = self._slots(keys), len(self.keys) - 1
+        held = self.keys[slot]
+        found = np.where(held == keys, self.values[slot], -1)
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            slot[left] = at = (slot[left] + 1) & last
+            held, want = self.keys[at], keys[left]
+            hit = held == want
+            found[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (held != 0)]
+        return found
+
+    def keep(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't there yet."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            full = self.keys != 0
+            was, size = (self.keys[full], self.values[full]), len(self.keys)
+            while 2 * (self.n + len(keys)) > size:
+                size *= 2
+            self.__init__(size)
+            self.keep(*was)
+        self.n += len(keys)
+        slot, last = self._slots(keys), len(self.keys) - 1
+        left = np.arange(len(keys))
+        while len(left):  # each free place goes to one of those that want it
+            at = slot[left]
+            free = self.keys[at] == 0
+            won = left[free]
+            self.keys[at[free]] = keys[won]
+            lost = self.keys[at] != keys[left]
+            kept = left[~lost]
+            self.values[slot[kept]] = values[kept]
+            left = left[lost]
+            slot[left] = (slot[left] + 1) & last
+
+    def where(self, keep) -> Table:
+        """What ``keep`` holds true of, given all keys and numbers."""
+        full = self.keys != 0
+        keys, values = self.keys[full], self.values[full]
+        kept, out = keep(keys, values), Table()
+        out.keep(keys[kept], values[kept])
+        return out
+
+    def place(self, key: int) -> int:
+        """Where one key stands, or would stand."""
+        keys, last = self.keys, len(self.keys) - 1
+        slot = (key * _SPREAD & _ALL) >> (65 - len(keys).bit_length())
+        while (held := int(keys[slot])) and held != key:
+            slot = (slot + 1) & last
+        return slot
+
+
+class Numbered:
+    """Distinct byte strings, numbered as they come, in one pool. Two of one hash may get a number each time they come."""
+
+    def __init__(self) -> None:
+        self.pool, self.ends, self.table = bytearray(), array("q", [0]), Table()
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> bytes:
+        return bytes(self.pool[self.ends[i] : self.ends[i + 1]])
+
+    def number(self, key: bytes) -> int:
+        t, h = self.table, hash(key) & _ALL or 1
+        at = t.place(h)
+        if met := int(t.keys[at]):
+            i = int(t.values[at])
+            if self[i] == key:
+                return i
+        n = len(self)
+        self.pool += key
+        self.ends.append(len(self.pool))
+        if not met:
+            t.keep(np.array([h], dtype=np.uint64), np.array([n])) if 2 * t.n + 2 > len(t.keys) else self._put(at, h, n)
+        return n
+
+    def cut(self, n: int) -> None:
+        """Only the first n stay."""
+        del self.pool[self.ends[n] :]
+        del self.ends[n + 1 :]
+        self.table = self.table.where(lambda _, values: values < n)
+
+    def _put(self, at: int, h: int, n: int) -> None:
+        self.table.keys[at], self.table.values[at] = h, n
+        self.table.n += 1
+
+
 class Transducer:
     """Encodes one piece; deterministic states are made as inputs need them.
 
@@ -82,9 +185,10 @@ class Transducer:
     is read from its end. One beginning stands behind all bytes read; its
     tokens are emitted where a piece ends. Moves stand in a hash table in
     arrays, so that many pieces take a step at once. When there are more than
-    ``MAX_STATES`` states all are dropped and made again as needed."""
+    ``most`` states the later half are dropped, and made again as needed."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], most: int | None = None):
+        self.most = most or MAX_STATES
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.trie: dict[int, int] = {}
@@ -105,74 +209,27 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.states: list[bytes] = []
-        self.outs: list[tuple[int, ...]] = [()]
-        self.out_ids: dict[tuple[int, ...], int] = {(): 0}
-        self.finals = np.zeros(1 << 12, dtype=np.int64)  # state -> what is emitted at a piece's end
-        # state << 8 | byte, plus one -> what is emitted << 32 | next state: open addressing
-        self.keys = np.zeros(1 << 16, dtype=np.uint64)
-        self.moves = np.zeros(1 << 16, dtype=np.int64)
-        self.n_moves = 0
-        self._told = (0, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
-        self._state(_pack_state([0, -1, 0]), ())
-
-    def _out(self, out: tuple[int, ...]) -> int:
-        told = self.out_ids.get(out)
-        if told is None:
-            told = self.out_ids[out] = len(self.outs)
-            self.outs.append(out)
-        return told
-
-    def _state(self, key: bytes, final: tuple[int, ...]) -> int:
-        state = self.ids.get(key)
-        if state is None:
-            state = self.ids[key] = len(self.states)
-            self.states.append(key)
-            if state == len(self.finals):
-                self.finals = np.concatenate([self.finals, np.zeros_like(self.finals)])
-            self.finals[state] = self._out(final)
+        self.states, self.outs = Numbered(), Numbered()
+        self.outs.number(b"")
+        self.finals = array("q")  # state -> what is emitted at a piece's end
+        self.moves = Table(1 << 16)  # state << 8 | byte, plus one -> what is emitted << 32 | next state
+        self._state([0, -1, 0], [])
+
+    def _forget_late(self) -> None:
+        """Drops the states met last: those that many pieces pass through are met early."""
+        n = self.most // 2
+        outs = max(self.finals[:n]) + 1
+        self.states.cut(n)
+        self.outs.cut(outs)
+        del self.finals[n:]
+        self.moves = self.moves.where(lambda keys, values: (keys - _U(1) >> _U(8) < n) & (values & 0xFFFFFFFF < n) & (values >> 32 < outs))
+
+    def _state(self, flat: list[int], final: list[int]) -> int:
+        state = self.states.number(_pack(flat))
+        if state == len(self.finals):
+            self.finals.append(self.outs.number(_pack(final)))
         return state
 
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * _U(0x9E3779B97F4A7C15) >> _U(65 - len(self.keys).bit_length())).astype(np.int64)
-
-    def _known(self, keys: np.ndarray) -> np.ndarray:
-        """Moves of these keys, -1 where there is none yet."""
-        slot, last = self._slots(keys), len(self.keys) - 1
-        held = self.keys[slot]
-        found = np.where(held == keys, self.moves[slot], -1)
-        open_ = np.flatnonzero((held != keys) & (held != 0))
-        while len(open_):
-            slot[open_] = at = (slot[open_] + 1) & last
-            held, want = self.keys[at], keys[open_]
-            hit = held == want
-            found[open_[hit]] = self.moves[at[hit]]
-            open_ = open_[~hit & (held != 0)]
-        return found
-
-    def _keep(self, keys: np.ndarray, moves: np.ndarray) -> None:
-        if 2 * (self.n_moves + len(keys)) > len(self.keys):
-            was, size = (self.keys, self.moves), len(self.keys)
-            while 2 * (self.n_moves + len(keys)) > size:
-                size *= 2
-            self.keys, self.moves, self.n_moves = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64), 0
-            full = was[0] != 0
-            self._keep(was[0][full], was[1][full])
-        self.n_moves += len(keys)
-        slot, last = self._slots(keys), len(self.keys) - 1
-        left = np.arange(len(keys))
-        while len(left):  # each free place goes to one of those that want it
-            at = slot[left]
-            free = self.keys[at] == 0
-            won = left[free]
-            self.keys[at[free]] = keys[won]
-            lost = self.keys[slot[left]] != keys[left]
-            kept = left[~lost]
-            self.moves[slot[kept]] = moves[kept]
-            left = left[lost]
-            slot[left] = (slot[left] + 1) & last
-
     def _halves(self, t: int) -> tuple[int, ...]:
         """The two tokens whose merge makes this one; none of a single byte, and (-1,) if its bytes merge to something else."""
         if (got := self.halves.get(t)) is None:
@@ -210,7 +267,7 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> int:
         live, reached = [], None
-        s = _read_state(self.states[state])
+        s = _unpack(self.states[state])
         i = len(s)
         n = 1 << 30
         while i:
@@ -241,32 +298,29 @@ class Transducer:
         for node, last, p in live:
             flat += p[n:]
             flat += (len(p) - n, last, node)
-        return self._out(tuple(common[:n])) << 32 | self._state(_pack_state(flat), tuple(reached[n:]))
+        return self.outs.number(_pack(common[:n])) << 32 | self._state(flat, reached[n:])
 
     def _moved(self, keys: np.ndarray) -> np.ndarray:
         """Moves of these keys; those not met before are made."""
-        found = self._known(keys)
+        found = self.moves.many(keys)
         new = np.flatnonzero(found < 0)
         if len(new):
             u, back = np.unique(keys[new], return_inverse=True)
             made = np.fromiter((self._move(k >> 8, k & 255) for k in (u - _U(1)).tolist()), dtype=np.int64, count=len(u))
-            self._keep(u, made)
+            self.moves.keep(u, made)
             found[new] = made[back]
         return found
 
     def _tokens(self, outs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of a row of emissions, and how many each has."""
-        n, first, size, flat = self._told
-        if n < len(self.outs):
-            more = self.outs[n:]
-            sizes = np.fromiter(map(len, more), dtype=np.int64, count=len(more))
-            flat = np.concatenate([flat, np.fromiter((t for o in more for t in o), dtype=np.uint32, count=int(sizes.sum()))])
-            size = np.concatenate([size, sizes])
-            first = np.cumsum(size) - size
-            self._told = (len(self.outs), first, size, flat)
-        k = size[outs]
+        ends = np.array(self.outs.ends) >> 2
+        first = ends[outs]
+        k = ends[outs + 1] - first
         total = np.cumsum(k)
-        return flat[np.repeat(first[outs] - (total - k), k) + np.arange(int(total[-1]) if len(total) else 0)], k
+        flat = np.frombuffer(self.outs.pool, dtype=np.int32)  # must go before the pool grows again
+        tokens = flat[np.repeat(first - (total - k), k) + np.arange(int(total[-1]) if len(total) else 0)]
+        del flat
+        return tokens.astype(np.uint32), k
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of one piece, byte by byte."""
@@ -278,20 +332,20 @@ class Transducer:
             for byte in piece[a : a + (1 << 16)]:
                 move = int(self._moved(np.array([(state << 8 | byte) + 1], dtype=np.uint64))[0])
                 state = move & 0xFFFFFFFF
-                out += self.outs[move >> 32]
-                if len(self.states) > MAX_STATES:
-                    key, final = self.states[state], self.outs[self.finals[state]]
-                    self._forget()
-                    state = self._state(key, final)
-        return out + list(self.outs[self.finals[state]])
+                out += _unpack(self.outs[move >> 32])
+                if len(self.states) > self.most:
+                    flat, final = _unpack(self.states[state]), _unpack(self.outs[self.finals[state]])
+                    self._forget_late()
+                    state = self._state(flat, final)
+        return out + _unpack(self.outs[self.finals[state]])
 
     def encode_many(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of many pieces, and how many each has: all pieces take a step at a time."""
         size = ends - starts
         if not len(size):
             return np.empty(0, dtype=np.uint32), size
-        if len(self.states) > MAX_STATES:
-            self._forget()
+        if len(self.states) > self.most:
+            self._forget_late()
         order = np.argsort(-size, kind="stable")
         start, size = starts[order], size[order]
         state = np.zeros(len(size), dtype=np.int64)
@@ -305,18 +359,18 @@ class Transducer:
             rows.append(order[some])
             outs.append(told[some])
         rows.append(order)
-        outs.append(self.finals[state])
+        outs.append(np.array(self.finals)[state])
         row, out = np.concatenate(rows), np.concatenate(outs)
         by_row = np.argsort(row, kind="stable")
         tokens, k = self._tokens(out[by_row])
         return tokens, np.bincount(row[by_row], weights=k, minlength=len(size)).astype(np.int64)
 
 
-def _pack_state(flat: list[int]) -> bytes:
+def _pack(flat: list[int]) -> bytes:
     return array("i", flat).tobytes()
 
 
-def _read_state(key: bytes) -> list[int]:
+def _unpack(key: bytes) -> list[int]:
     return memoryview(key).cast("i").tolist()
 
 
@@ -324,8 +378,8 @@ def _classes() -> np.ndarray:
     """0 other, 1 letter, 2 number, 3 white space, for every code point."""
     import regex
 
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    text = "".join(map(chr, points))
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    text = points.astype("<u4").tobytes().decode("utf-32-le")
     table = np.zeros(0x110000, dtype=np.uint8)
     for value, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
         for m in regex.finditer(pattern, text):
@@ -338,9 +392,9 @@ def _classes() -> np.ndarray:
 class Codec:
     """Encodes and decodes blocks of texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         ranks = load_ranks(path)
-        self.fst = Transducer(ranks)
+        self.fst = Transducer(ranks, most)
         self.classes = _classes()
         self.bytes = mix(np.arange(1001, 1257, dtype=np.uint64))
         top = max(ranks.values()) + 1
@@ -476,7 +530,7 @@ class Codec:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, token ids) for every row, in order."""
-        for i, j, buf, offsets in textvec.blocks(column):
+        for i, j, buf, offsets in textvec.blocks(column, BLOCK):
             if j == i + 1 and len(buf) > BLOCK:
                 yield i, np.concatenate(list(self.long_text(buf)))
                 continue
@@ -530,9 +584,9 @@ class Utf8Machine:
         return data
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, most: int | None = None) -> Codec:
     """The worker's codec for these ranks."""
-    return hold(("bpe", path), lambda: Codec(path))
+    return hold(("bpe", path, most), lambda: Codec(path, most))
 
 
 def _decoded(c: Codec, ids: np.ndarray, text: np.ndarray) -> str:
@@ -548,12 +602,15 @@ def _decoded(c: Codec, ids: np.ndarray, text: np.ndarray) -> str:
     return h.hexdigest()
 
 
-def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, on demand, token_ids (little-endian unsigned 32-bit integers)."""
+def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, states: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, on demand, token_ids (little-endian unsigned 32-bit integers).
+
+    ``states`` bounds the transducer's table (MAX_STATES by default): fewer take less memory and more time."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, states)
         arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("token_ids", pa.binary())] * with_ids)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -568,7 +625,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 row = (keys[k], len(ids), hashlib.sha256(packed).hexdigest(), _decoded(c, ids, whole[offsets[k] : offsets[k + 1]]))
                 rows.append((*row, packed) if with_ids else row)
                 held += len(packed) if with_ids else 100
-                if held > 1 << 22:
+                if held > 1 << 20:
                     yield out(rows)
                     rows, held = [], 0
             if rows:

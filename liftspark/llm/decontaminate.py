@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .storage import without, written
+from .storage import small_batches, without, written
 from .textvec import ALNUM, Words, mix
 from .workers import task
 
@@ -204,6 +204,7 @@ def _verify(window: int, agree: float):
 
 def stretches(docs: DataFrame, benchmark: DataFrame, mark=None, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
     """row, doc_id, mark, item (both numbered), item_id, n_matched, first_word, end_word, share: what matches on each diagonal of a contaminated row."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(task(_item_seeds(window, agree)), "item long, item_id long, size int, item_words binary, place array<int>, hash array<long>")
     items = written(items, "benchmark-items")
     sizes = [r["n"] for r in items.select(F.least("size", F.lit(max(window, SHORTEST))).alias("n")).distinct().collect()]

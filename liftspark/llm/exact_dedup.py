@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import first_of_each, only, without, written
+from .storage import first_of_each, only, small_batches, without, written
 from .workers import task
 
 FAN_IN = 8
@@ -98,6 +98,7 @@ def decisions(docs: DataFrame, keep: str = "max", fan_in: int = FAN_IN) -> DataF
     """One row for each distinct (doc_id, text): doc_id, sha, n_rows, keep_id, group_size; keep is ``max`` or ``min``.
 
     There are as many leaves as the session has shuffle partitions, rounded up to a power of fan_in."""
+    small_batches(docs.sparkSession)
     rounds, leaves = 1, fan_in
     while leaves < int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         rounds, leaves = rounds + 1, leaves * fan_in

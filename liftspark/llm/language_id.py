@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
+from .storage import small_batches
 from .textvec import BLOCK
 from .workers import task
 
@@ -151,6 +152,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model | None:
     """Learns from the rows where ``learnable`` holds and text, lang and doc_id are not null: centroids from at most ``sample`` of them, or one for each language."""
+    small_batches(docs.sparkSession)
     rows = docs.where(learnable & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     lettered = rows.where(F.col("text").rlike(r"\p{L}"))
     sizes = [(r["lang"], r["n"]) for r in lettered.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -161,7 +163,8 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE) -> Model | Non
     # Spares most texts the sort; the least ``each`` chances of a language are below it.
     share = F.least(F.lit(1_000_003), (F.lit(1_000_003 * (2 * each + 40)) / F.col("n")).cast("long") + 1000)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id"))
-    labels = F.broadcast(docs.sparkSession.createDataFrame(sizes, "lang string, n long"))
+    names, numbers = zip(*sizes, strict=True)
+    labels = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(names, pa.string()), "n": pa.array(numbers, pa.int64())})))
     picked = lettered.join(labels, "lang").withColumn("chance", chance).where(F.col("chance") < share).withColumn("rank", rank).where(F.col("rank") <= each)
     got = picked.select("doc_id", "text", "lang").mapInArrow(task(_sparse), "doc_id long, lang string, size long, letter boolean, places binary, n binary").where("letter").toPandas().sort_values(["lang", "doc_id", "size"])
     if not len(got):

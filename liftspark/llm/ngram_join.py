@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .components import components
-from .storage import first_of_each, only, scratch, without, written
+from .storage import first_of_each, only, scratch, small_batches, without, written
 from .textvec import BLANK, Words, mix, shingle_sets
 from .workers import task
 
@@ -400,7 +400,7 @@ def _ends(base: DataFrame, rows: DataFrame, shared, k: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = written(base.mapInArrow(task(_profile(k)), "kind tinyint, doc_id long, n long, hi long, lo long"), "ngram-profile")
     rows = profile.where("kind = 0").drop("kind")

@@ -18,6 +18,18 @@ from pyspark.sql import functions as F
 
 #: A list of keys (8 to 48 bytes each) is broadcast up to this many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+BATCH_BYTES = "4m"
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sets the bytes of an Arrow batch to BATCH_BYTES where the session has no setting of its own: an executor holds
+    several copies of a batch, in the JVM and in each worker, and no operator here gains from large ones."""
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -43,15 +43,15 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_POW = _powers(BLOCK + 1, _BASE)
-_INV = _powers(BLOCK + 1, pow(_BASE, -1, 2**64))
+_POW = _powers(1 << 16, _BASE)  # both grow with the blocks that are met
+_INV = _powers(1 << 16, pow(_BASE, -1, 2**64))
 
 
 def _grown(n: int) -> None:
     global _POW, _INV
     if len(_POW) <= n:
-        _POW = _powers(n + 1, _BASE)
-        _INV = _powers(n + 1, pow(_BASE, -1, 2**64))
+        _POW = _powers(n + (n >> 3), _BASE)
+        _INV = _powers(n + (n >> 3), pow(_BASE, -1, 2**64))
 
 
 def alphabet(kind: str) -> np.ndarray:
@@ -131,12 +131,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about BLOCK bytes; a longer text stands alone."""
+def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows of about ``size`` bytes; a longer text stands alone."""
     buf, offsets = utf8(column)
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         j = min(j, n, i + 65536)
         yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j

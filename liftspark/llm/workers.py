@@ -17,17 +17,24 @@ import pyarrow as pa
 _held: dict[object, object] = {}
 
 
+_TRIM, _MMAP = -1, -3  # parameters of mallopt
+
+
 @lru_cache(maxsize=1)
-def _trim():
+def _allocator():
+    """The C library's malloc_trim, after telling it to keep little of what is freed: by default its limits grow with use."""
     try:
-        return ctypes.CDLL(None).malloc_trim
+        c = ctypes.CDLL(None)
+        c.mallopt(_MMAP, 8 << 20)
+        c.mallopt(_TRIM, 8 << 20)
+        return c.malloc_trim
     except (AttributeError, OSError):  # another C library
         return lambda _: 0
 
 
 def hand_back() -> None:
     pa.default_memory_pool().release_unused()
-    _trim()(0)
+    _allocator()(0)
 
 
 def hold(key: object, make: Callable[[], object]) -> object:
@@ -49,6 +56,7 @@ def task(run, holds: bool = False):
     """A function over batches that starts with nothing held by others, unless it holds something itself, and hands back memory."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _allocator()
         if not holds:
             let_go()
         try:

@@ -197,6 +197,14 @@ def test_encoded_rows_without_id_and_repeated(spark, tokenizer):
     got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), ranks_path()).collect()
     assert sorted((str(x["doc_id"]), x["n_tokens"]) for x in got) == sorted((str(i), len(tokenizer.encode_ordinary(t or ""))) for i, t in rows)
     assert bpe.encode_documents(frame(spark, []).limit(0), ranks_path()).count() == 0
+    few = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), ranks_path(), states=20).collect()
+    assert sorted(map(str, few)) == sorted(map(str, got))
+    # A session's own batch size stays; one is set where there is none.
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert spark.conf.get(key) == storage.BATCH_BYTES
+    spark.conf.set(key, "64m")
+    assert storage.small_batches(spark).conf.get(key) == "64m"
+    spark.conf.unset(key)
 
 
 def test_encoding_that_loses_bytes_is_an_error():
