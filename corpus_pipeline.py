@@ -31,6 +31,9 @@ from liftspark.llm.queries import ranks_path
 from liftspark.llm.storage import fresh, removed, scratch
 
 
+STATES = 100_000  # of the encoder's table: by this stage the executors' heaps are full
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs)
 
@@ -49,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids (little-endian unsigned 32-bit integers)."""
-    return encode_documents(docs, ranks_path(), with_ids=True)
+    return encode_documents(docs, ranks_path(), with_ids=True, states=STATES)
 
 
 STAGES = [
