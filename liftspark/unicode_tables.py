@@ -7,6 +7,8 @@ code point once per process.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
@@ -14,9 +16,14 @@ from pyspark.sql import functions as F
 
 _BASE = {"alnum": r"\p{L}\p{N}", "alpha": r"\p{L}", "decimal": r"\p{Nd}", "digit": r"\p{Nd}", "numeric": r"\p{N}"}
 _ASCII = {"alnum": "0-9A-Za-z", "alpha": "A-Za-z", "decimal": "0-9", "digit": "0-9", "numeric": "0-9"}
-_POINTS = [*range(0xD800), *range(0xE000, 0x110000)]
 
-WHITE = "".join(chr(c) for c in _POINTS if chr(c).isspace())
+
+def _points() -> Iterator[int]:
+    """Every code point but the surrogates; a list of them would stay in each worker."""
+    return itertools.chain(range(0xD800), range(0xE000, 0x110000))
+
+
+WHITE = "".join(chr(c) for c in _points() if chr(c).isspace())
 WHITE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITE)
 
 
@@ -35,9 +42,9 @@ def _ranges(points: list[int]) -> str:
 def _class(name: str) -> tuple[str, str]:
     """(class of code points to add, class of code points to take away) relative to the JVM's."""
     jvm = SparkSession.active()._jvm
-    text = "".join(map(chr, _POINTS))
+    text = "".join(map(chr, _points()))
     kept = set(jvm.java.util.regex.Pattern.compile(f"[^{_BASE[name]}]+").matcher(text).replaceAll(""))
-    mine = {chr(c) for c in _POINTS if getattr(chr(c), f"is{name}")()}
+    mine = {chr(c) for c in _points() if getattr(chr(c), f"is{name}")()}
     return _ranges(sorted(map(ord, mine - kept))), _ranges(sorted(map(ord, kept - mine)))
 
 
