@@ -24,10 +24,12 @@ share prefix tokens under every order; only then are the sets compared.
    and go through the same filters and verification. Pairs inside one component
    needn't be tested, as they are connected already. In large stars all texts
    are measured against the leader, since what a text shares with the leader
-   of a group of near copies excludes most others of the group: unless two of
-   them share something that the leader lacks, they can't share more than
-   either has in common with it. So each linked pair ends in one component,
-   while a group of near copies costs about a pair per member.
+   of a group of near copies excludes most others of the group: two of them
+   share no more than either has in common with it, and what they share
+   beside it. Where the first is too little, they are paired by those tokens
+   alone which the leader lacks, and only if they share enough of these. So each
+   linked pair ends in one component, while a group of near copies costs about
+   a pair per member.
 
 The frequency levels only steer the orders: results don't depend on them.
 They cover all texts; their list has at most ``FREQUENT`` tokens of 12 bytes.
@@ -50,7 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -268,26 +270,33 @@ def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, x = Orders(*shared.value), None
-        for b in batches:
-            pair, linked, overlap, inside = [], [], [], []
-            for member, y in zip(b["y"].to_pylist(), b["data"], strict=True):
-                y = np.frombuffer(y.as_buffer(), np.uint64)
-                pair.append(member is not None)
-                if member is None:
-                    x = y.copy()
-                    continue
-                both = np.intersect1d(x, y, assume_unique=True)
-                linked.append(similar(len(x), len(y), len(both)))
-                overlap.append(len(both))
-                prefix = orders.prefix(y, 0)
-                inside.append(len(y) - len(both) == len(prefix) - len(np.intersect1d(prefix, both, assume_unique=True)))
-            ids = pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(pair, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(linked, pa.bool_()), pa.array(overlap, pa.int64()), pa.array(inside, pa.bool_())], names=["x", "y", "linked", "overlap", "inside"])
-
-    return run
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    x = None
+    for b in batches:
+        pair, linked, overlap = [], [], []
+        for member, y in zip(b["y"].to_pylist(), b["data"], strict=True):
+            y = np.frombuffer(y.as_buffer(), np.uint64)
+            pair.append(member is not None)
+            if member is None:
+                x = y.copy()
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            linked.append(similar(len(x), len(y), both))
+            overlap.append(both)
+        ids = pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"]).filter(pa.array(pair, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(linked, pa.bool_()), pa.array(overlap, pa.int64())], names=["x", "y", "linked", "overlap"])
+
+
+def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of y that its block's leader lacks."""
+    x = None
+    for b in batches:
+        for leader, member, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), b["data"], strict=True):
+            y = np.frombuffer(y.as_buffer(), np.uint64)
+            if member is None:
+                x = y.copy()
+            elif len(rest := np.setdiff1d(y, x, assume_unique=True)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), leader)), pa.array(np.full(len(rest), member)), pa.array(rest.view(np.int64))], names=["pivot", "doc", "token"])
 
 
 def _blocks(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -301,14 +310,14 @@ def _blocks(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return rows.select("x", "y", "data")
 
 
-def _tested(pairs: DataFrame, docs: DataFrame, shared, k: int) -> DataFrame:
+def _tested(pairs: DataFrame, docs: DataFrame, shared, k: int) -> tuple[DataFrame, DataFrame]:
     """Pairs x, y (already written) that pass the filters of all orders, or are to be ``measured`` in any case, with whether
-    they are linked, how many tokens they share, and whether all of y's others lie in its first prefix."""
+    they are linked and how many tokens they share; and the sets of their texts."""
     wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ngram-wanted")
     sets = written(only(docs, wanted, "doc_id").mapInArrow(task(_sets(shared, k)), "doc long, filters binary, tokens binary"), "ngram-sets")
     passed = _blocks(pairs.where("NOT measured"), sets, "filters").mapInArrow(task(_filter), "x long, y long")
     passed = written(passed.unionByName(pairs.where("measured").select("x", "y")), "ngram-passed")
-    return written(_blocks(passed, sets, "tokens").mapInArrow(task(_verify(shared)), "x long, y long, linked boolean, overlap long, inside boolean"), "ngram-tested")
+    return written(_blocks(passed, sets, "tokens").mapInArrow(task(_verify), "x long, y long, linked boolean, overlap long"), "ngram-tested"), sets
 
 
 def _sizes_fit(a: str, b: str) -> Column:
@@ -323,6 +332,46 @@ def _enough_shared(c: Column) -> Column:
     return c + rest >= F.expr(f"({NUMERATOR} * (nx + ny) + {both} - 1) div {both}")
 
 
+def _mixed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of keys with several labels, and each key's most frequent label as ``main``."""
+    labels = rows.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("c"))
+    labels = labels.groupBy(*key).agg(F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return rows.join(labels.select(*key, F.col("main.label").alias("main")), key)
+
+
+def _missing(n: str, o: str) -> Column:
+    """How many tokens a text of n, of which its pivot has o, must share beside the pivot with any text like it."""
+    return F.greatest(F.lit(1), F.expr(f"({NUMERATOR} * {n} + {DENOMINATOR} - 1) div {DENOMINATOR} - {o}"))
+
+
+def _rare_first(others: DataFrame) -> DataFrame:
+    """Of the tokens that a text has beside its pivot, the prefix by rarity in the pivot's group, without those that no other text has;
+    ``shared`` tells how many of all these others have. Where the pivot lacks a token that most of its group have, few texts
+    have so many more that they could be similar by it."""
+    held = others.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("held"))
+    own = Window.partitionBy("pivot", "doc")
+    ranked = others.join(held, ["pivot", "token"]).withColumn("rank", F.row_number().over(own.orderBy("held", "token"))).withColumn("all", F.count(F.lit(1)).over(own)).withColumn("shared", F.sum((F.col("held") > 1).cast("long")).over(own))
+    return ranked.where((F.col("rank") <= F.col("all") - _missing("n", "o") + 1) & (F.col("held") > 1)).drop("held", "rank", "all")
+
+
+def _crossed(rows: DataFrame, key: list[str], where: Column) -> DataFrame:
+    """Pairs x < y of texts that meet in a key, under different labels: how often (c), their sizes (nx, ny), and what they share with pivots (ox, oy).
+
+    Each key gives a pair once: from its side outside the main label, or from the smaller doc_id if both are."""
+
+    def side(df: DataFrame, z: str) -> DataFrame:
+        own = [c for c in ("n", "label", "o", "pivot", "shared") if c in df.columns and c not in key]
+        return df.select(*key, F.col("doc").alias(z), *[F.col(c).alias(f"{c}{z}") for c in own], (F.col("label") == F.col("main")).alias(f"central{z}"))
+
+    few, every = side(rows.where("label != main"), "x"), side(rows, "y")
+    once = (F.col("labelx") != F.col("labely")) & (F.col("centraly") | (F.col("x") < F.col("y")))
+    pairs = few.join(every, key).where(once & _sizes_fit("nx", "ny") & where)
+    first = F.col("x") < F.col("y")
+    ends = [F.when(first, F.col(f"{c}x")).otherwise(F.col(f"{c}y")).alias(f"{c}x") for c in ("n", "o")] + [F.when(first, F.col(f"{c}y")).otherwise(F.col(f"{c}x")).alias(f"{c}y") for c in ("n", "o")]
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *ends)
+    return pairs.groupBy("x", "y", "nx", "ny", "ox", "oy").agg(F.count(F.lit(1)).alias("c"))
+
+
 def _ends(base: DataFrame, rows: DataFrame, shared, k: int) -> DataFrame:
     """doc_id, component_id of documents that have a link or a copy; rows has their sizes and digests."""
     spark = base.sparkSession
@@ -359,34 +408,30 @@ def _ends(base: DataFrame, rows: DataFrame, shared, k: int) -> DataFrame:
     far = stars.where(~_enough_shared(F.col("c"))).join(large, "x", "left_semi")
     to_test = near.join(large.withColumn("measured", F.lit(True)), "x", "left").unionByName(far.withColumn("measured", F.lit(True)))
     star_pairs = written(to_test.select("x", "y", F.coalesce("measured", F.lit(False)).alias("measured")), "ngram-star-pairs")
-    tested = _tested(star_pairs, active, shared, k)
+    tested, sets = _tested(star_pairs, active, shared, k)
     links = tested.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(links)
 
     # A text's pivot is the leader it shares most with, of those it was tested against.
-    best = tested.join(stars, ["x", "y"]).groupBy("y").agg(F.max(F.struct("overlap", (-F.col("x")).alias("before"), "inside", "c")).alias("p"))
-    pivots = best.select(F.col("y").alias("doc"), (-F.col("p.before")).alias("pivot"), F.col("p.overlap").alias("o"), F.col("p.inside").alias("inside"), F.col("p.c").alias("m"))
-    placed = led.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("main.label").alias("main"))
-    apart = written(placed.join(mixed, "token").join(pivots, "doc", "left").select("token", "leader", "doc", "n", "label", "main", "pivot", "o", "inside", "m"), "ngram-apart")
+    best = tested.groupBy("y").agg(F.max(F.struct("overlap", (-F.col("x")).alias("before"))).alias("p"))
+    pivots = written(best.select(F.col("y").alias("doc"), (-F.col("p.before")).alias("pivot"), F.col("p.overlap").alias("o")), "ngram-pivots")
+    placed = postings.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    apart = written(_mixed(placed, ["token"]).join(pivots, "doc", "left").select("token", "doc", "n", "label", "main", "pivot", "o"), "ngram-apart")
     if not apart.isEmpty():
-
-        def side(df: DataFrame, z: str) -> DataFrame:
-            return df.select("token", F.col("doc").alias(z), *[F.col(c).alias(f"{c}{z}") for c in ("n", "label", "pivot", "o", "inside", "m")], (F.col("label") == F.col("main")).alias(f"central{z}"), F.col("leader").alias(f"leader{z}"))
-
-        few, every = side(apart.where("label != main"), "x"), side(apart, "y").drop("leadery")
-        # Each token that both share gives a pair once: from its side outside the main component, or from the smaller doc_id if both are.
-        once = (F.col("labelx") != F.col("labely")) & (F.col("centraly") | (F.col("x") < F.col("y")))
-        # Two texts with one pivot that share no token outside it share at most what each has in common with it. Where
-        # that is too little they share another, in both prefixes, whose leader is another text: it gives the pair.
-        outside = F.coalesce((F.col("pivotx") == F.col("pivoty")) & F.col("insidex") & F.col("insidey") & ((NUMERATOR + DENOMINATOR) * F.least("ox", "oy") < NUMERATOR * (F.col("nx") + F.col("ny"))), F.lit(False))
-        elsewhere = outside & (F.col("leaderx") == F.col("pivotx"))
-        crossed = few.join(every, "token").where(once & _sizes_fit("nx", "ny") & ~elsewhere)
-        rest = F.when(outside, F.least("mx", "my")).otherwise(F.lit(0)).alias("rest")  # at most so many rows of the pair were left out
-        crossed = crossed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny"), rest)
-        crossed = crossed.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"), F.max("rest").alias("rest"))
+        # Two texts with one pivot share at most what each has in common with it, and what they share beside it. Where the
+        # first is too little they meet in a token that the pivot lacks, so that a group of near copies isn't paired.
+        least = F.expr(f"({NUMERATOR} * (nx + ny) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}")
+        beside = least - F.least("ox", "oy")
+        spared = F.coalesce((F.col("pivotx") == F.col("pivoty")) & (beside > 0), F.lit(False))
+        crossed = _crossed(apart, ["token"], ~spared).where(_enough_shared(F.col("c")))
+        grouped = pivots.join(postings.select("doc", "n").distinct(), "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        grouped = _mixed(grouped, ["pivot"])
+        others = _blocks(grouped.select(F.col("pivot").alias("x"), F.col("doc").alias("y")), sets, "tokens").mapInArrow(task(_others), "pivot long, doc long, token long")
+        others = written(others.join(grouped, ["pivot", "doc"]), "ngram-others")
+        met = _crossed(_rare_first(others), ["pivot", "token"], (beside > 0) & (beside <= F.least("sharedx", "sharedy"))).where(F.col("c") + F.greatest(_missing("nx", "ox"), _missing("ny", "oy")) - 1 >= beside)
         done = star_pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        more = _tested(written(crossed.where(_enough_shared(F.col("c") + F.col("rest"))).select("x", "y").join(done, ["x", "y"], "left_anti").withColumn("measured", F.lit(False)), "ngram-crossed"), active, shared, k)
+        pairs = crossed.select("x", "y").unionByName(met.select("x", "y")).distinct().join(done, ["x", "y"], "left_anti")
+        more, _ = _tested(written(pairs.withColumn("measured", F.lit(False)), "ngram-crossed"), active, shared, k)
         links = links.unionByName(more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
     links = links.unionByName(copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     labels = components(links)
