@@ -21,6 +21,17 @@ _PURE_BUILTINS = {"abs", "all", "any", "bool", "chr", "dict", "divmod", "enumera
 _PURE_MODULES = {"math", "re", "json", "unicodedata", "string", "hashlib", "zlib", "base64", "datetime", "decimal", "fractions", "functools", "itertools", "operator", "urllib.parse", "html"}
 
 
+_PLAIN = {bool, int, float, complex, str, bytes, tuple, frozenset}
+_MUTATORS = {"add", "append", "appendleft", "clear", "discard", "extend", "insert", "pop", "popitem", "put", "remove", "reverse", "send", "setdefault", "sort", "update", "write", "writelines"}
+
+
+def _own(value: ast.expr | None) -> bool:
+    """Whether an expression makes a collection of its own."""
+    if isinstance(value, ast.Call):
+        return isinstance(value.func, ast.Name) and value.func.id in ("list", "dict", "set", "sorted")
+    return isinstance(value, (ast.List, ast.Dict, ast.Set, ast.ListComp, ast.DictComp, ast.SetComp))
+
+
 def is_pure(fn, level: int = 0) -> bool:
     """Whether a function plainly only computes: no stores outside, and calls to known names alone."""
     if isinstance(fn, (types.BuiltinFunctionType, type)):
@@ -34,6 +45,17 @@ def is_pure(fn, level: int = 0) -> bool:
     except (OSError, TypeError, SyntaxError):
         return False
     local = set(fn.__code__.co_varnames)
+    defaults = [*(fn.__defaults__ or ()), *(fn.__kwdefaults__ or {}).values()]
+    if not all(v is None or type(v) in _PLAIN for v in defaults):
+        return False
+    made: dict[str, list[ast.expr | None]] = {}  # what each local name is bound to; None: something unknown
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store):
+            made.setdefault(n.id, [])
+        if isinstance(n, ast.Assign):
+            for t in n.targets:
+                if isinstance(t, ast.Name):
+                    made.setdefault(t.id, []).append(n.value)
     cells = dict(zip(fn.__code__.co_freevars, fn.__closure__ or (), strict=True))
     for n in ast.walk(tree):
         if isinstance(n, (ast.Global, ast.Nonlocal, ast.Yield, ast.YieldFrom, ast.Await, ast.Import, ast.ImportFrom, ast.Delete)):
@@ -44,6 +66,10 @@ def is_pure(fn, level: int = 0) -> bool:
                 return False
         if isinstance(n, ast.Call):
             f = n.func
+            if isinstance(f, ast.Name) and f.id in local or not isinstance(f, (ast.Name, ast.Attribute)):
+                return False  # whatever it is bound to may have effects
+            if isinstance(f, ast.Attribute) and f.attr in _MUTATORS and isinstance(f.value, ast.Name) and f.value.id in local and not all(map(_own, made.get(f.value.id) or [None])):
+                return False  # what it changes may be known outside
             while isinstance(f, ast.Attribute):
                 f = f.value
             if isinstance(f, ast.Name) and f.id not in local:

@@ -131,6 +131,10 @@ class Lowering:
 
     # truth
 
+    def _of_integers(self, node: ir.Node) -> bool:
+        """A quotient of two integers is never NaN: a divisor of 0 is an error."""
+        return isinstance(node, ir.Binary) and node.op == "truediv" and self.lower(node.left).kind == self.lower(node.right).kind == "int64"
+
     def _compare(self, node: ir.Compare) -> Typed:
         a, b = self.lower(node.left), self.lower(node.right)
         if node.op not in ("eq", "ne"):
@@ -144,7 +148,7 @@ class Lowering:
         x, y = a.column, b.column
         column = {"eq": lambda: x == y, "ne": lambda: x != y, "lt": lambda: x < y, "le": lambda: x <= y, "gt": lambda: x > y, "ge": lambda: x >= y}[node.op]()
         if a.kind == "float64":
-            real = [~F.isnan(t.column) for n, t in ((node.left, a), (node.right, b)) if not (isinstance(n, ir.Const) and not math.isnan(n.value))]
+            real = [~F.isnan(t.column) for n, t in ((node.left, a), (node.right, b)) if not (isinstance(n, ir.Const) and not math.isnan(n.value) or self._of_integers(n))]
             for r in real:
                 column = (~r | column) if node.op == "ne" else (r & column)
         if node.op in ("eq", "ne") and self.strict and (a.nullable or b.nullable):

@@ -137,8 +137,9 @@ class Table:
         self.df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         return self
 
-    def into_partitions(self, n: int) -> Table:
-        return self._on(self.df.coalesce(n) if n < self.df.rdd.getNumPartitions() else self.df.repartition(n))
+    def into_partitions(self, n: int, shuffle: bool = True) -> Table:
+        """n partitions of even size; without a shuffle at most as many as there are."""
+        return self._on(self.df.repartition(n) if shuffle else self.df.coalesce(n))
 
     def repartition(self, n: int | None, *columns) -> Table:
         return self._on(self.df.repartition(*([n] if n else []), *columns))

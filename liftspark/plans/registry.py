@@ -406,11 +406,8 @@ def _(T):
 
 @table("min_max_mean_sum_stddev", "SELECT min(o_totalprice) AS mn, max(o_totalprice) AS mx, round(avg(o_totalprice), 4) AS mean, round(sum(o_totalprice), 2) AS total, round(stddev_pop(o_totalprice), 4) AS dev FROM orders")
 def _(T):
-    o = T("orders")
-    one = o.min("o_totalprice").with_column_renamed("o_totalprice", "mn")
-    for name, other in (("mx", o.max("o_totalprice")), ("mean", o.mean("o_totalprice").select(o_totalprice=F.round("o_totalprice", 4))), ("total", o.sum("o_totalprice").select(o_totalprice=F.round("o_totalprice", 2))), ("dev", o.stddev("o_totalprice").select(o_totalprice=F.round("o_totalprice", 4)))):
-        one = one.join(other.with_column_renamed("o_totalprice", name), how="cross")
-    return one
+    x = "o_totalprice"
+    return T("orders").agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.round(F.mean(x), 4).alias("mean"), F.round(F.sum(x), 2).alias("total"), F.round(F.stddev_pop(x), 4).alias("dev"))
 
 
 @table("describe", "SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) v(\"column\", type)")
@@ -497,19 +494,19 @@ _JOINS = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer":
 
 
 def _customers(T):
-    return Table(T("customer").df.select("c_custkey", "c_mktsegment").where("c_custkey % 3 = 0"))
+    return Table(T("customer").df.select("c_custkey", "c_mktsegment"))
 
 
 def _orders(T):
-    return Table(T("orders").df.select("o_orderkey", "o_custkey").where("o_orderkey % 2 = 0"))
+    return Table(T("orders").df.select("o_orderkey", F.when(c("o_custkey") % 3 != 0, c("o_custkey")).alias("o_custkey")))  # without a key: unmatched
 
 
-_C = "(SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0)"
-_O = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0)"
+_C = "(SELECT c_custkey, c_mktsegment FROM customer)"
+_O = "(SELECT o_orderkey, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS o_custkey FROM orders)"
 for _how, _sql in _JOINS.items():
     table(f"join_{_how}", f"SELECT c_custkey, c_mktsegment, o_orderkey, o_custkey FROM {_C} a {_sql} {_O} b ON a.c_custkey = b.o_custkey")(lambda T, how=_how: _customers(T).join(_orders(T), left_on="c_custkey", right_on="o_custkey", how=how))
 table("join_semi", f"SELECT * FROM {_C} a WHERE c_custkey IN (SELECT o_custkey FROM {_O})")(lambda T: _customers(T).join(_orders(T), left_on="c_custkey", right_on="o_custkey", how="semi"))
-table("join_anti", f"SELECT * FROM {_C} a WHERE c_custkey NOT IN (SELECT o_custkey FROM {_O})")(lambda T: _customers(T).join(_orders(T), left_on="c_custkey", right_on="o_custkey", how="anti"))
+table("join_anti", f"SELECT * FROM {_C} a WHERE NOT EXISTS (SELECT 1 FROM {_O} b WHERE b.o_custkey = a.c_custkey)")(lambda T: _customers(T).join(_orders(T), left_on="c_custkey", right_on="o_custkey", how="anti"))
 table("join_cross", "SELECT r_name, n_name FROM region, nation")(lambda T: T("region").select("r_name").join(T("nation").select("n_name"), how="cross"))
 
 
@@ -518,11 +515,11 @@ def _(T):
     return T("orders").select("o_orderkey", "o_custkey", y=s.affine(c("o_totalprice"))).join(_customers(T), left_on="o_custkey", right_on="c_custkey").exclude("c_custkey")
 
 
-_K1, _K2 = "SELECT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0", "SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0"
+_K1, _K2 = "SELECT o_custkey AS k FROM orders", "SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS k FROM customer"
 
 
 def _keys(T):
-    return Table(T("orders").df.where("o_orderkey % 2 = 0").select(c("o_custkey").alias("k"))), Table(T("customer").df.where("c_custkey % 3 = 0").select(c("c_custkey").alias("k")))
+    return Table(T("orders").df.select(c("o_custkey").alias("k"))), Table(T("customer").df.select(F.when(c("c_custkey") % 3 == 0, c("c_custkey")).alias("k")))
 
 
 for _name, _op in {"concat": "UNION ALL", "union": "UNION", "union_all": "UNION ALL", "intersect": "INTERSECT", "intersect_all": "INTERSECT ALL", "except_distinct": "EXCEPT", "except_all": "EXCEPT ALL"}.items():

@@ -365,3 +365,37 @@ def test_constant_helpers_fold(spark):
     out = select(df, y=s.labelled(F.col("x")))
     assert out.first()["y"] == "run-v1/a" and report(out)[0]["tier"] == 1
     assert "run-v1/" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calls_of_local_names_are_not_pure():
+    from liftspark.batch import is_pure
+
+    seen = []
+
+    def by_default(x, log=print):
+        log(x)
+        return x
+
+    def by_alias(x):
+        sink = seen.append
+        sink(x)
+        return x
+
+    def by_subscript(x):
+        return [print][0](x)
+
+    def by_other_name(x):
+        out = seen
+        out.append(x)
+        return x
+
+    def own_list(x):
+        out = []
+        out.append(x + 1)
+        return out[0]
+
+    def methods(x, least=3):
+        return x.strip().lower()[:least]
+
+    assert not any(map(is_pure, (by_default, by_alias, by_subscript, by_other_name)))
+    assert is_pure(own_list) and is_pure(methods)
