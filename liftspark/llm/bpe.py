@@ -46,7 +46,7 @@ from .storage import small_batches
 from .textvec import mix
 from .workers import hold, task
 
-BLOCK = 1 << 18  # bytes worked on at once
+BLOCK = 1 << 16  # bytes worked on at once
 MAX_STATES = 240_000
 MAX_PAIRS = 50_000
 SLOTS_BITS = 19
