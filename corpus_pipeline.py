@@ -31,7 +31,7 @@ from liftspark.llm.queries import ranks_path
 from liftspark.llm.storage import fresh, removed, scratch
 
 
-STATES = 100_000  # of the encoder's table: by this stage the executors' heaps are full
+STATES = 30_000  # of the encoder's table: by this stage the executors' heaps are full
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
