@@ -29,6 +29,7 @@ from liftspark.llm.language_id import accepted
 from liftspark.llm.ngram_join import near_deduplicated
 from liftspark.llm.queries import ranks_path
 from liftspark.llm.storage import fresh, removed, scratch
+from liftspark.llm.workers import shrink_heaps
 
 
 STATES = 30_000  # of the encoder's table: by this stage the executors' heaps are full
@@ -43,6 +44,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shrink_heaps(spark)
     return near_deduplicated(docs)
 
 
@@ -52,6 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids (little-endian unsigned 32-bit integers)."""
+    shrink_heaps(spark)
     return encode_documents(docs, ranks_path(), with_ids=True, states=STATES)
 
 

@@ -2,7 +2,8 @@
 
 Workers outlive a task and serve one operator after the other, so that tables
 of one would stand beside those of the next. A worker holds one object at a
-time, and hands freed memory back to the system when a task ends.
+time, and hands freed memory back to the system when a task ends. Heaps of the
+JVMs keep what they once grew to, until a full collection shrinks them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _held: dict[object, object] = {}
 
@@ -65,3 +68,12 @@ def task(run, holds: bool = False):
             hand_back()
 
     return wrapped
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Executors collect their garbage, which shrinks their heaps, before a stage that needs memory outside them.
+
+    There is a task for each core, so that idle executors get some each; one without any keeps a larger heap, nothing else."""
+    cores = spark.sparkContext.defaultParallelism
+    collected = F.expr("java_method('java.lang.System', 'gc')").alias("collected")
+    spark.range(0, cores, 1, cores).select(collected).write.format("noop").mode("overwrite").save()
