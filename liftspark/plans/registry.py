@@ -11,6 +11,7 @@ from ..functions import scalar as s
 from ..functions import text as t
 from ..operators.table import Table
 from ..ops import select, where, with_column, with_columns
+from ..sources import io
 from ..sources.io import read_parquet
 from ..unicode_tables import WHITE_CLASS
 from . import text_pipeline as fw
@@ -394,9 +395,9 @@ def _(T):
     return T("nation").select(x=F.array("n_nationkey", "n_regionkey")).agg_concat("x").with_column("x", F.sort_array("x"))
 
 
-@table("any_value")
+@table("any_value", "SELECT any_value(left(n_name, 0) || 'one') AS x FROM nation")
 def _(T):
-    return T("nation").any_value("n_name")
+    return T("nation").select(x=F.concat(F.left("n_name", F.lit(0)), F.lit("one"))).any_value("x")  # one value, so that any of them is that
 
 
 @table("count", "SELECT count(o_orderkey)::BIGINT AS o_orderkey FROM orders")
@@ -573,3 +574,101 @@ def _(d):
 @query("union_of_lowered", "SELECT l_orderkey AS k, l_quantity * 2.0 + 3.0 AS y FROM lineitem UNION ALL SELECT o_orderkey, o_totalprice + 10.0 FROM orders")
 def _(d):
     return Table(select(d.lineitem, k=c("l_orderkey"), y=s.affine(c("l_quantity")))).union_all(Table(select(d.orders, k=c("o_orderkey"), y=s.plus_ten(c("o_totalprice"))))).df
+
+
+# other names of an operation
+
+_LARGE = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 100000"
+table("filter_alias", _LARGE)(lambda T: T("orders").filter(c("o_totalprice") >= 100000).select("o_orderkey", "o_totalprice"))
+for _name in ("unique", "drop_duplicates"):
+    table(_name, "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")(lambda T, name=_name: getattr(T("lineitem").select("l_returnflag", "l_linestatus"), name)())
+table("melt", "SELECT c_custkey, 'c_nationkey' AS variable, c_nationkey::DOUBLE AS value FROM customer UNION ALL SELECT c_custkey, 'c_acctbal', c_acctbal FROM customer")(
+    lambda T: T("customer").with_column("c_nationkey", c("c_nationkey").cast("double")).melt(["c_custkey"], ["c_nationkey", "c_acctbal"])
+)
+table("transform_alias", "SELECT r_regionkey * 2 AS k FROM region")(lambda T: T("region").transform(lambda x: x.select(k=c("r_regionkey") * 2)))
+
+
+@table("sort_top", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
+def _(T):
+    """A top-k report, in which the order shows."""
+    return T("orders").sort("o_totalprice", "o_orderkey", desc=[True, False]).limit(50).select("o_orderkey", "o_totalprice")
+
+
+@table("sample_bounds", "SELECT true AS near_half, 0::BIGINT AS strangers, 0::BIGINT AS repeated")
+def _(T):
+    """A sample without replacement: about half of the rows, none twice, none that the table lacks."""
+    all_rows = T("orders").select("o_orderkey", drawn=F.lit(0))
+    drawn = T("orders").sample(0.5, seed=7).select("o_orderkey", drawn=F.lit(1))
+    of_key = all_rows.union_all(drawn).groupby("o_orderkey").agg(F.sum("drawn").alias("drawn"), F.count(F.when(c("drawn") == 0, 1)).alias("there"))
+    share = F.sum("drawn") / F.sum("there")
+    return of_key.agg(((share > 0.4) & (share < 0.6)).alias("near_half"), F.count_if(c("there") == 0).alias("strangers"), F.count_if(c("drawn") > 1).alias("repeated"))
+
+
+# sources, sinks and results: what is written or handed over, read again
+
+_CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+@query("write_parquet_read", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def _(d):
+    """Partitioned by a column: the filter on it chooses folders."""
+    path = io.fresh_folder(d.spark, "orders")
+    Table(d.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")).write_parquet(path, partition_by=["o_orderstatus"])
+    return read_parquet(d.spark, path).where(c("o_orderstatus") == "F")
+
+
+for _name in ("csv", "json", "orc"):
+
+    @query(f"write_{_name}_read", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+    def _(d, name=_name):
+        path = io.fresh_folder(d.spark, "customer")
+        getattr(Table(d.customer), f"write_{name}")(path)
+        return io.read_jsonl(d.spark, path, _CUSTOMER) if name == "json" else d.spark.read.schema(_CUSTOMER).format(name).load(path)
+
+
+@query("read_lines", "SELECT count(*)::BIGINT AS n, sum(length(c_name))::BIGINT AS letters FROM customer")
+def _(d):
+    path = io.fresh_folder(d.spark, "lines")
+    io.write(d.customer.select("c_name"), path, "text")
+    return io.read_lines(d.spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("letters"))
+
+
+@query("parquet_glob", "SELECT s_suppkey, s_name FROM supplier")
+def _(d):
+    return read_parquet(d.spark, f"{d.folder}/suppl*.parquet").select("s_suppkey", "s_name")
+
+
+@query("in_memory_columns", "SELECT k::INTEGER AS k, x * 2.0 + 3.0 AS y FROM (VALUES (0, 0.0::DOUBLE), (1, 1.25), (2, -2.5), (3, 1e300), (4, 5e-324)) v(k, x)")
+def _(d):
+    return select(io.from_pydict(d.spark, {"k": [0, 1, 2, 3, 4], "x": [0.0, 1.25, -2.5, 1e300, 5e-324]}, "k int, x double"), "k", y=s.affine(c("x")))
+
+
+_NATION = "n_nationkey int, n_name string, n_regionkey int"
+_HANDED = {
+    "to_pydict": lambda x: x.to_pydict(),
+    "to_pylist": lambda x: _by_column(x.to_pylist()),
+    "to_arrow": lambda x: x.to_arrow().to_pydict(),
+    "to_pandas": lambda x: x.to_pandas().to_dict("list"),
+    "collect": lambda x: _by_column([r.asDict() for r in x.collect()]),
+    "iter_rows": lambda x: _by_column(list(x.iter_rows())),
+    "to_arrow_iter": lambda x: _by_column([r for b in x.to_arrow_iter() for r in b.to_pylist()]),
+    "iter_partitions": lambda x: _by_column([r for t in x.iter_partitions() for r in t.to_pylist()]),
+}
+
+
+def _by_column(rows: list[dict]) -> dict[str, list]:
+    return {k: [r[k] for r in rows] for k in rows[0]}
+
+
+for _name, _handed in _HANDED.items():
+
+    @query(_name, "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    def _(d, handed=_handed):
+        """Results go to the caller, who holds them; nation has 25 rows at any scale."""
+        columns = handed(Table(d.nation.select("n_nationkey", "n_name", "n_regionkey")))
+        return io.from_pydict(d.spark, columns, _NATION)
+
+
+@query("count_rows", "SELECT count(*)::BIGINT AS n FROM lineitem")
+def _(d):
+    return io.from_pydict(d.spark, {"n": [len(Table(d.lineitem))]}, "n long")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -45,6 +47,16 @@ def write(df: DataFrame, path: str | None, format: str = "parquet", mode: str =
     writer.save(path)
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path that all executors see: below spark.checkpoint.dir, or a temporary folder where all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tables-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def plan_digest(df: DataFrame) -> str:
     """Digest of a frame's analysed plan, without the ids that differ between sessions."""
     import re
