@@ -13,7 +13,8 @@ sorted. All counts cover all training texts; none is pruned.
 Scoring. Workers memory-map the files and look up the distinct words and
 pairs of a block of texts by binary search, shard by shard, so memory doesn't
 depend on the model's size. Where the shared folder isn't mounted, a worker
-copies a file beside itself when it first needs it.
+copies a file beside itself when it first needs it. A file that was written
+and can't be found is an error, never a count of nothing.
 
 Model. p(w|c) = max(n(c,w) - D(n), 0) / n(c) + g(c) p(w), with three
 discounts from the counts of counts and g(c) what they leave; p(w) likewise
@@ -172,24 +173,25 @@ def _pairs(uri: str, shards: int):
                 x, y = slice(*np.searchsorted(cr, [r, r + 1])), slice(*np.searchsorted(wr, [r, r + 1]))
                 own = ctx[x]
                 rows.append(_pack(*(np.ascontiguousarray(own[f]) for f in _CTX.names), words[y], k[y].astype("<u4")))
-            counts = [int((n == i).sum()) for i in range(1, 5)] + [len(n)]
+            counts = [int((n == i).sum()) for i in range(1, 5)] + [len(n), shard]
             yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(rows, pa.binary()), pa.array([counts] + [[]] * (shards - 1), pa.list_(pa.int64()))], names=["range", "block", "counts"])
 
     return run
 
 
 def _words(uri: str):
-    """Writes the file of each hash range; returns counts of counts of pairs and words."""
+    """Writes the file of each hash range; returns counts of counts of pairs (as range -1) and words, and the shards written (-2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_range: dict[int, list[bytes]] = {}
-        pairs = np.zeros(5, dtype=np.int64)
+        pairs, written = np.zeros(5, dtype=np.int64), []
         for b in batches:
             for r, block, counts in zip(b["range"].to_pylist(), b["block"].to_pylist(), b["counts"].to_pylist(), strict=True):
                 by_range.setdefault(r, []).append(block)
                 if counts:
-                    pairs += counts
-        rows = [[-1, 0, 0, 0, *pairs.tolist()]]
+                    pairs += counts[:5]
+                    written.append(counts[5])
+        rows = [[-1, 0, 0, 0, *pairs.tolist()]] + [[-2, shard, 0, 0, 0, 0, 0, 0, 0] for shard in written]
         for r in sorted(by_range):
             parts = [_unpack(x, ("<u8", "<u8", "<u4", "<u4", "<u4", "<u8", "<u4")) for x in by_range.pop(r)]
             h = np.concatenate([p[0] for p in parts] + [p[5] for p in parts])
@@ -237,7 +239,8 @@ class Model:
     word_discounts: tuple[float, ...]
     pairs: int  # distinct pairs
     word_rest: float  # mass that the words' discounts leave
-    ranges: frozenset[int] = field(default_factory=frozenset)
+    ranges: frozenset[int] = field(default_factory=frozenset)  # that have a file of words
+    written: frozenset[int] = field(default_factory=frozenset)  # shards that have a file of pairs
 
 
 class Lookup:
@@ -280,10 +283,9 @@ class Lookup:
         cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else []
         for a, b in zip(cuts, [*cuts[1:], len(s)], strict=True):
             own = order[a:b]
-            try:
-                keys, small, large, many = self._file(f"pairs-{s[a]}", ("<u8", "u1", "<u8", "<u8"))
-            except FileNotFoundError:  # no pair fell to this shard
+            if int(s[a]) not in self.model.written:  # no pair fell to this shard
                 continue
+            keys, small, large, many = self._file(f"pairs-{s[a]}", ("<u8", "u1", "<u8", "<u8"))
             at = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
             n = np.where(keys[at] == key[own], small[at], 0).astype(np.float64)
             full = np.flatnonzero(n == 255)
@@ -335,7 +337,7 @@ def fit(docs: DataFrame, learnable: Column) -> Model:
     d, e = discounts(pairs), discounts(words)
     more = words[4] - words[0] - words[1]
     rest = (e[1] * words[0] + e[2] * words[1] + e[3] * more) / pairs[4] if pairs[4] else 1.0
-    return Model(uri, shards, keys, parts, tokens + texts, known + bool(texts), texts, tuple(d.tolist()), tuple(e.tolist()), pairs[4], float(rest), frozenset(r["range"] for r in done if r["range"] >= 0))
+    return Model(uri, shards, keys, parts, tokens + texts, known + bool(texts), texts, tuple(d.tolist()), tuple(e.tolist()), pairs[4], float(rest), frozenset(r["range"] for r in done if r["range"] >= 0), frozenset(r["tokens"] for r in done if r["range"] == -2))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

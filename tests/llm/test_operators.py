@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 
 import brute
@@ -418,6 +419,18 @@ def test_probabilities_sum_to_one(spark):
         assert (10**p).sum() == pytest.approx(1.0)
 
 
+def test_lost_model_files_are_an_error(spark):
+    docs = frame(spark, ["a b c a b", "c d e"]).select("doc_id", "text")
+    model = kneser_ney.fit(docs, F.lit(True))
+    assert model.written
+    for name in os.listdir(folder := storage.local_file(model.uri)):
+        if name.startswith("pairs-"):
+            os.remove(os.path.join(folder, name))
+    contexts = tokens = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.Lookup(model).pairs(contexts, tokens)
+
+
 def test_secret_scan(spark):
     r = random.Random(9)
     key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=64))
