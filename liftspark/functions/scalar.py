@@ -360,7 +360,7 @@ def known_type(kind):
 
 @func(return_dtype="string")
 def first_character(s):
-    return s[0]
+    return s[0] if s else s  # of an empty text it is empty, of None it is None, as in SQL
 
 
 @func(return_dtype="string")

@@ -17,6 +17,7 @@ from liftspark.explain import counters, explain_udf, report
 from liftspark.functions import scalar as s
 from liftspark.functions import text as t
 from liftspark.lower import Lowering, argument
+from liftspark.plans.registry import QUERIES
 from liftspark.reference import evaluate
 from liftspark.types import canonical, layout, normalize_scalar, schema_digest
 
@@ -120,6 +121,21 @@ def test_errors(spark):
     fails(s.meaning, ["Q"], "string", "KeyError|UNKNOWN|PythonException")
 
 
+def test_first_character_of_any_text(spark, tmp_path):
+    texts = ["", "a", "😀b", None, "\n c"]
+    got, how = run(spark, s.first_character, texts, "string")
+    assert how["tier"] == 1 and got == ["", "a", "😀", None, "\n"] == [s.first_character.fn(x) for x in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(map(tuple, QUERIES["op_index"](spark, str(tmp_path)).collect())) == dict(enumerate(got))
+
+    @func(return_dtype="string")
+    def bare(x):
+        return x[0]
+
+    with pytest.raises(Exception, match="IndexError"):
+        run(spark, bare, ["a", ""], "string")
+
+
 def test_guarded_division_does_not_raise(spark):
     @func(return_dtype="bool")
     def big_share(v):
