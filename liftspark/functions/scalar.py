@@ -365,7 +365,7 @@ def first_character(s):
 
 @func(return_dtype="string")
 def last_character(s):
-    return s[-1]
+    return s[-1] if s else s  # as above
 
 
 @func(return_dtype="int64")

@@ -136,6 +136,14 @@ def test_first_character_of_any_text(spark, tmp_path):
         run(spark, bare, ["a", ""], "string")
 
 
+def test_last_character_of_any_text(spark, tmp_path):
+    texts = ["", "a", "b😀", None, "c \n"]
+    got, how = run(spark, s.last_character, texts, "string")
+    assert how["tier"] == 1 and got == ["", "a", "😀", None, "\n"] == [s.last_character.fn(x) for x in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(map(tuple, QUERIES["op_index_negative"](spark, str(tmp_path)).collect())) == dict(enumerate(got))
+
+
 def test_guarded_division_does_not_raise(spark):
     @func(return_dtype="bool")
     def big_share(v):
